@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from finsieve.plans import transactions  # noqa: F401
+from finsieve.plans import (  # noqa: F401
+    graph,
+    transactions,
+)
 from finsieve.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
