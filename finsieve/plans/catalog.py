@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from finsieve.plans import (  # noqa: F401
+    alerts,
     graph,
     transactions,
 )
