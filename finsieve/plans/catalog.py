@@ -5,6 +5,7 @@ from __future__ import annotations
 from finsieve.plans import (  # noqa: F401
     alerts,
     graph,
+    kyc,
     transactions,
 )
 from finsieve.plans.registry import QUERIES
