@@ -7,6 +7,7 @@ from finsieve.plans import (  # noqa: F401
     graph,
     kyc,
     monitoring,
+    streams,
     transactions,
 )
 from finsieve.plans.registry import QUERIES

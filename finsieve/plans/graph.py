@@ -311,3 +311,84 @@ def account_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("amount_sent", 2).alias("amount_sent"),
         F.round("amount_received", 2).alias("amount_received"),
     )
+
+
+_PAIRS = (
+    T.MONEY_EDGES.format(at_least=0)
+    + """,
+pairs AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+nodes AS (SELECT node, count(*) FILTER (o) AS out_degree, count(*) FILTER (NOT o) AS in_degree
+          FROM (SELECT src AS node, true AS o FROM pairs UNION ALL SELECT dst, false FROM pairs)
+          GROUP BY node)"""
+)
+_STEPS = 4
+
+
+def _rank_ctes() -> str:
+    parts = ["r0 AS (SELECT node, out_degree, 1.0::DOUBLE / count(*) OVER () AS r FROM nodes)"]
+    for i in range(1, _STEPS + 1):
+        parts.append(
+            f"""r{i} AS (
+              SELECT n.node, n.out_degree, 0.15::DOUBLE / count(*) OVER () + 0.85::DOUBLE * (
+                coalesce((SELECT sum(p.r / p.out_degree) FROM r{i - 1} p JOIN pairs e
+                          ON e.src = p.node WHERE e.dst = n.node), 0)
+                + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE out_degree = 0)
+                  / count(*) OVER ()) AS r
+              FROM nodes n)"""
+        )
+    return ",\n".join(parts)
+
+
+@query(
+    "D16",
+    T.with_ctes(
+        _PAIRS
+        + """,
+        und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM pairs),
+        sym AS (SELECT a AS u, b AS v FROM und UNION ALL SELECT b, a FROM und),
+        tri AS (SELECT x.u AS node, count(*) AS t FROM sym x JOIN sym y ON y.u = x.v
+                JOIN sym z ON z.u = y.v AND z.v = x.u GROUP BY x.u),
+        nb AS (SELECT u AS node, count(*) AS n FROM sym GROUP BY u),
+        """
+        + _rank_ctes(),
+        f"""
+        SELECT n.node, CAST(n.out_degree AS BIGINT) AS out_degree,
+               CAST(n.in_degree AS BIGINT) AS in_degree, round(r.r, 9) AS pagerank,
+               round(CASE WHEN nb.n > 1 THEN coalesce(tri.t, 0) / (nb.n * (nb.n - 1.0)) ELSE 0 END,
+                     9) AS clustering_coefficient,
+               round((n.out_degree + n.in_degree) / (2.0 * (count(*) OVER () - 1)), 9) AS hub_score
+        FROM nodes n JOIN r{_STEPS} r ON r.node = n.node JOIN nb ON nb.node = n.node
+        LEFT JOIN tri ON tri.node = n.node
+        """,
+    ),
+)
+def network_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees, PageRank, clustering and hub score of every account."""
+    from finsieve.operators import network as N
+
+    rows = N.network_features(T.money_edges(spark, sf_dir, 0.0), iterations=_STEPS)
+    return rows.select(
+        "node", "out_degree", "in_degree",
+        *[F.round(c, 9).alias(c) for c in ("pagerank", "clustering_coefficient", "hub_score")],
+    )
+
+
+@query(
+    "D16",
+    _recursive(
+        T.with_ctes(
+            T.MONEY_EDGES.format(at_least=250)
+            + """,
+            sym AS (SELECT src AS u, dst AS v FROM edges WHERE src <> dst
+                    UNION SELECT dst, src FROM edges WHERE src <> dst),
+            reach AS (SELECT DISTINCT u AS node, u AS other FROM sym
+                      UNION SELECT r.node, s.v FROM reach r JOIN sym s ON s.u = r.other)""",
+            "SELECT node, min(other) AS community FROM reach GROUP BY node",
+        )
+    ),
+)
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected groups of accounts over large transfers."""
+    from finsieve.operators import network as N
+
+    return N.communities(N.connections(T.money_edges(spark, sf_dir, 250.0)))

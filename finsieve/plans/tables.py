@@ -38,7 +38,11 @@ def received(spark: SparkSession, sf_dir: str) -> DataFrame:
     space, so money can travel in circles. Times are cut to the hour to give ties
     and every 50th row repeats the id of the row before it.
     """
-    events = table(spark, sf_dir, "events")
+    return received_rows(table(spark, sf_dir, "events"))
+
+
+def received_rows(events: DataFrame) -> DataFrame:
+    """The mapping of :func:`received` for a batch or streaming events table."""
     k = F.get_json_object("props", "$.k").cast("long")
     copied = F.when(F.col("event_id") % 50 == 49, 1).otherwise(0)
     return events.select(

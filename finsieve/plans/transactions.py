@@ -215,3 +215,226 @@ def what_if_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether neither account of a transaction was seen before it."""
     return H.cold_start(T.canonical(spark, sf_dir))
+
+
+@query(
+    "C4 D13",
+    T.with_ctes(
+        T.CANONICAL
+        + """,
+        arrived AS (SELECT *, ts - INTERVAL 1 HOUR * (seq * 7 % 50) AS at_time FROM tx),
+        first_in AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id
+                                                                 ORDER BY seq) AS rn FROM arrived)
+                     WHERE rn = 1),
+        marked AS (
+          SELECT seq, (at_time, transaction_id)
+                   < max((at_time, transaction_id)) OVER (PARTITION BY sender ORDER BY seq
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late_out,
+                 (at_time, transaction_id)
+                   < max((at_time, transaction_id)) OVER (PARTITION BY receiver ORDER BY seq
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late_in
+          FROM first_in)""",
+        """
+        SELECT (SELECT count(*) FROM first_in) AS recorded,
+               (SELECT count(*) FROM tx) - (SELECT count(*) FROM first_in) AS duplicates,
+               count(*) FILTER (coalesce(late_out, false) OR coalesce(late_in, false))
+                 AS out_of_order
+        FROM marked
+        """,
+    ),
+)
+def arrival_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded, repeated and late transactions in arrival order."""
+    late = F.timestamp_micros(
+        F.unix_micros("timestamp") - F.col("seq") * 7 % 50 * F.lit(S.HOUR_US)
+    )
+    return H.arrival_counters(T.canonical(spark, sf_dir).withColumn("timestamp", late))
+
+
+@query(
+    "D14",
+    T.with_ctes(
+        T.CANONICAL,
+        """
+        SELECT t.seq, t.transaction_id,
+               CASE WHEN stddev_pop(h.amount) > 1e-9 THEN
+                 round((t.amount - avg(h.amount)) / stddev_pop(h.amount), 3) + 0.0e0 END AS amount_zscore,
+               count(h.seq) FILTER (h.ts >= t.ts - INTERVAL 1 HOUR) AS tx_velocity_1h,
+               count(h.seq) FILTER (h.ts >= t.ts - INTERVAL 24 HOUR) AS tx_velocity_24h,
+               count(DISTINCT h.receiver) FILTER (h.ts >= t.ts - INTERVAL 24 HOUR)
+                 AS unique_receivers_1d,
+               count(h.seq) FILTER (h.receiver = t.receiver) = 0 AS is_new_receiver,
+               CAST(coalesce(epoch(t.ts) - epoch(max(h.ts)), -1) AS DOUBLE) AS time_since_last_tx,
+               round(t.amount / avg(h.amount), 3) AS amount_to_avg_ratio
+        FROM tx t LEFT JOIN rec h ON h.sender = t.sender
+         AND (h.ts < t.ts OR (h.ts = t.ts AND h.transaction_id < t.transaction_id))
+        GROUP BY t.seq, t.transaction_id, t.ts, t.amount
+        """,
+    ),
+)
+def transaction_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocity, novelty and amount features against the sender's own past."""
+    rows = H.transaction_features(T.canonical(spark, sf_dir))
+    return rows.withColumns(
+        {c: F.round(c, 3) + 0.0 for c in ("amount_zscore", "amount_to_avg_ratio")}
+    )
+
+
+@query(
+    "D15",
+    """
+    WITH e AS (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k
+               FROM events),
+    hours AS (SELECT user_id, hour(ts) AS h, count(*) AS n FROM e GROUP BY 1, 2),
+    best AS (SELECT user_id, arg_max(h, (n, -h)) AS h, max(n) / sum(n) AS share
+             FROM hours GROUP BY 1),
+    ips AS (SELECT user_id, k, count(*) AS n FROM e GROUP BY 1, 2),
+    ent AS (SELECT user_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS bits
+            FROM ips GROUP BY 1),
+    dev AS (SELECT user_id, ts, event_type,
+                   lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last
+            FROM e),
+    chg AS (SELECT user_id, count(*) FILTER (last <> event_type)
+              / greatest(ceil((epoch_us(max(ts)) - epoch_us(min(ts))) / 604800000000.0), 1)
+              AS per_week FROM dev GROUP BY 1),
+    wk AS (SELECT user_id, avg((isodow(ts) >= 6)::INT) AS weekend,
+                  avg((event_type = 'click')::INT) AS clicks FROM e GROUP BY 1)
+    SELECT b.user_id, CAST(b.h AS BIGINT) AS typical_tx_hour,
+           round(b.share, 6) AS login_hour_consistency, round(w.weekend, 6) AS weekend_tx_ratio,
+           round(w.clicks, 6) AS click_share, round(c.per_week, 6) AS device_change_frequency,
+           round(x.bits, 4) AS ip_entropy
+    FROM best b JOIN ent x USING (user_id) JOIN chg c USING (user_id) JOIN wk w USING (user_id)
+    """,
+)
+def behaviour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Behaviour of every user; kind of event stands for channel and device."""
+    from finsieve.operators.behaviour import behaviour_features as features
+
+    rows = T.table(spark, sf_dir, "events").select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+        F.col("event_type").alias("channel"), F.col("event_type").alias("device"),
+        F.get_json_object("props", "$.k").alias("ip"),
+    )
+    found = features(rows, "user_id", "ts", "channel", "device", "ip")
+    clicks = F.coalesce(F.try_element_at("channel_distribution", F.lit("click")), F.lit(0.0))
+    return found.select(
+        "user_id", F.col("typical_tx_hour").cast("long").alias("typical_tx_hour"),
+        F.round("login_hour_consistency", 6).alias("login_hour_consistency"),
+        F.round("weekend_tx_ratio", 6).alias("weekend_tx_ratio"),
+        F.round(clicks, 6).alias("click_share"),
+        F.round("device_change_frequency", 6).alias("device_change_frequency"),
+        F.round("ip_entropy", 4).alias("ip_entropy"),
+    )
+
+
+_RAW = """
+raw AS (
+  SELECT o_orderkey AS source_row, o_orderdate AS ts, o_custkey AS sender,
+         o_orderkey % 97 AS receiver, o_totalprice AS amount,
+         (['UK pounds', 'Euro', 'Yen', 'Peso'])[CAST(o_orderkey % 4 AS INTEGER) + 1] AS cur,
+         (['UK', 'Turkey', 'Spain', 'Mars'])[CAST(o_custkey % 4 AS INTEGER) + 1] AS land,
+         (['ACH', 'Cash Deposit', 'Wire'])[CAST(o_orderkey % 3 AS INTEGER) + 1] AS kind
+  FROM orders)"""
+
+
+@query(
+    "A1 B10 B11 B12 B13 B14 B15 J4",
+    T.with_ctes(
+        _RAW,
+        """
+        SELECT 'SAMLD-' || lpad(CAST(source_row AS VARCHAR), 9, '0') AS transaction_id,
+               CAST(epoch(ts) AS BIGINT) AS unix_time, CAST(sender AS VARCHAR) AS sender_account,
+               round(amount * 50, 2) AS amount,
+               CASE cur WHEN 'UK pounds' THEN 'TRY' WHEN 'Euro' THEN 'EUR' WHEN 'Yen' THEN 'JPY'
+                        ELSE 'unknown' END AS payment_currency,
+               CASE land WHEN 'UK' THEN 'TR' WHEN 'Turkey' THEN 'GB' WHEN 'Spain' THEN 'ES'
+                         ELSE 'unknown' END AS sender_country,
+               CASE kind WHEN 'ACH' THEN 'ach' WHEN 'Cash Deposit' THEN 'cash_deposit'
+                         ELSE 'unknown' END AS payment_type,
+               26 AS iban_length
+        FROM raw
+        """,
+    ),
+)
+def labelled_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as raw labelled rows turned into the canonical record."""
+    n, c = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.col("o_orderdate").cast("timestamp")
+    raw = T.table(spark, sf_dir, "orders").select(
+        n.alias("source_row"),
+        F.date_format(day, "HH:mm:ss").alias("Time"),
+        F.date_format(day, "yyyy-MM-dd").alias("Date"),
+        c.cast("string").alias("Sender_account"), (n % 97).cast("string").alias("Receiver_account"),
+        F.col("o_totalprice").alias("Amount"),
+        T._cycle(("UK pounds", "Euro", "Yen", "Peso"), n % 4).alias("Payment_currency"),
+        F.lit("Euro").alias("Received_currency"),
+        T._cycle(("UK", "Turkey", "Spain", "Mars"), c % 4).alias("Sender_bank_location"),
+        F.lit("UK").alias("Receiver_bank_location"),
+        T._cycle(("ACH", "Cash Deposit", "Wire"), n % 3).alias("Payment_type"),
+        F.lit(0).cast("tinyint").alias("Is_laundering"), F.lit("Normal").alias("Laundering_type"),
+    )
+    rows = C.from_raw(raw)
+    return rows.select(
+        "transaction_id", T.short_time(F.col("timestamp")).alias("unix_time"), "sender_account",
+        "amount", "payment_currency", "sender_country", "payment_type",
+        F.length("sender_iban").alias("iban_length"),
+    )
+
+
+@query(
+    "B14",
+    """
+    SELECT count(*) AS rows, 0 AS bad_accounts, count(*) FILTER (c_acctbal <= 0) AS bad_amounts,
+           count(*) FILTER (c_nationkey > 1) AS bad_labels, 0 AS bad_times
+    FROM customer
+    """,
+)
+def dataset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows break each rule of the labelled source."""
+    key = F.col("c_custkey").cast("string")
+    raw = T.table(spark, sf_dir, "customer").select(
+        F.lit("00:00:00").alias("Time"), F.lit("2024-01-01").alias("Date"),
+        key.alias("Sender_account"), key.alias("Receiver_account"),
+        F.col("c_acctbal").alias("Amount"), F.col("c_nationkey").alias("Is_laundering"),
+    )
+    return C.raw_problems(raw)
+
+
+@query(
+    "B16 B17",
+    """
+    WITH r AS (
+      SELECT c_custkey, upper(replace(trim(' tr' || substr(c_name, 1, CAST(c_custkey % 20 AS INT))
+               || lpad(CAST(c_custkey AS VARCHAR), 9, '0')), ' ', '')) AS iban,
+             c_acctbal AS amount, c_nationkey * 5 - 10 AS lat, substr(c_name, 1, 5) AS cur
+      FROM customer)
+    SELECT c_custkey, (length(iban) < 15 OR length(iban) > 34) AS bad_iban, amount <= 0 AS bad_amount,
+           lat NOT BETWEEN -90 AND 90 AS bad_latitude, true AS bad_currency
+    FROM r
+    """,
+)
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract rules that customer rows break when read as transactions."""
+    n = F.col("c_custkey")
+    iban = F.concat(
+        F.lit(" tr"), F.substring("c_name", F.lit(1), (n % 20).cast("int")),
+        F.lpad(n.cast("string"), 9, "0"),
+    )
+    rows = T.table(spark, sf_dir, "customer").select(
+        "c_custkey", iban.alias("sender_iban"), F.col("c_name").alias("sender_name"),
+        F.lit("").alias("sender_city"), F.lit("TR330006100519786457841326").alias("receiver_iban"),
+        F.lit("R").alias("receiver_name"), F.lit("").alias("receiver_city"),
+        F.col("c_acctbal").alias("amount"), F.substring("c_name", 1, 5).alias("currency"),
+        (F.col("c_nationkey") * 5.0 - 10).alias("sender_latitude"),
+        F.lit(0.0).alias("sender_longitude"),
+    )
+    found = rows.withColumn("v", C.received_violations(rows))
+
+    def broken(rule: str, name: str) -> F.Column:
+        return F.array_contains("v", rule).alias(name)
+
+    return found.select(
+        "c_custkey", broken("sender_iban length", "bad_iban"), broken("amount range", "bad_amount"),
+        broken("sender_latitude range", "bad_latitude"),
+        broken("currency length", "bad_currency"),
+    )

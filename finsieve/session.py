@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -41,19 +43,35 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session without
-    one (tests) gets a temporary folder; a cluster without one is an error.
+    Only a local session without one (tests) gets a temporary folder; a cluster
+    without one is an error.
     """
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
+        "spark.checkpoint.dir", None
+    )
+    if shared:
+        return shared
+    known = context.getCheckpointDir()
+    if known:
+        return known
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="finsieve-")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder for one run of a job."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder; survives lost executors."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if shared is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="finsieve-ckpt-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
