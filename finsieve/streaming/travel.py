@@ -7,80 +7,80 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from finsieve.functions import scalars as S
 from finsieve.operators import detectors as D
 from finsieve.options import DetectionOptions
 
-_PLACE = "t LONG, id STRING, city STRING, lat DOUBLE, lon DOUBLE"
+_STATE = "at_us LONG, id STRING, city STRING, lat DOUBLE, lon DOUBLE"
 _COLUMNS = [
     "transaction_id", "timestamp", "sender_iban", "sender_name", "sender_city",
     "receiver_iban", "receiver_name", "receiver_city", "amount", "currency",
 ]
-_OUT = """
-    transaction_id STRING, timestamp TIMESTAMP, sender_iban STRING, sender_name STRING,
+_ROW = """transaction_id STRING, timestamp TIMESTAMP, sender_iban STRING, sender_name STRING,
     sender_city STRING, receiver_iban STRING, receiver_name STRING, receiver_city STRING,
-    amount DOUBLE, currency STRING,
-    last STRUCT<t: LONG, id: STRING, city: STRING, lat: DOUBLE, lon: DOUBLE>
-"""
+    amount DOUBLE, currency STRING, at_us LONG, lat DOUBLE, lon DOUBLE"""
+_LAST = "last_us LONG, last_id STRING, last_city STRING, last_lat DOUBLE, last_lon DOUBLE"
 
 
-class LastLocation(StatefulProcessor):
-    """Newest known location per sender, forgotten after the time to live."""
+def _follow(ttl_ms: int):
+    """State function: pair every location with the newest one known before it."""
 
-    def __init__(self, ttl_hours: int) -> None:
-        self._ttl_hours = ttl_hours
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._place = handle.getValueState("place", _PLACE, self._ttl_hours * 3_600_000)
-
-    def handleInputRows(
-        self, key, rows: Iterator[pd.DataFrame], timerValues
+    def handle(
+        key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(["_t", "transaction_id", "sender_city"], kind="stable")
-        last = self._place.get() if self._place.exists() else None
-        previous = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows = rows.sort_values(["at_us", "transaction_id", "sender_city"], kind="stable")
+        last = tuple(state.get) if state.exists else None
+        before = []
         for t, tid, city, lat, lon in zip(
-            batch["_t"], batch["transaction_id"], batch["sender_city"], batch["_lat"],
-            batch["_lon"],
+            rows["at_us"], rows["transaction_id"], rows["sender_city"], rows["lat"], rows["lon"]
         ):
             here = (int(t), tid, city, float(lat), float(lon))
-            previous.append(
-                None if last is None
-                else dict(zip(("t", "id", "city", "lat", "lon"), tuple(last)))
-            )
+            before.append(last or (None,) * 5)
             # A late row is compared but never replaces a newer location.
-            if last is None or here[:3] >= tuple(last)[:3]:
+            if last is None or here[:3] >= last[:3]:
                 last = here
-        if last is not None:
-            self._place.update(tuple(last))
-        yield batch[_COLUMNS].assign(last=previous)
+        state.update(last)
+        state.setTimeoutDuration(ttl_ms)
+        found = pd.DataFrame(
+            before, columns=["last_us", "last_id", "last_city", "last_lat", "last_lon"],
+            index=rows.index,
+        )
+        found["last_us"] = found["last_us"].astype("Int64")
+        yield pd.concat([rows, found], axis=1)
 
-    def close(self) -> None:
-        pass
+    return handle
 
 
 def with_last_location(rows: DataFrame, ttl_hours: int = 24) -> DataFrame:
-    """Stream twin of the batch operator: rows of known cities with ``here`` and ``last``."""
+    """Stream twin of the batch operator: rows of known cities with ``here`` and ``last``.
+
+    A sender's location is forgotten when nothing was heard for the time to live.
+    """
     point = S.city_point(F.col("sender_city"))
     known = rows.select(
-        *_COLUMNS, F.unix_micros("timestamp").alias("_t"), point["lat"].alias("_lat"),
-        point["lon"].alias("_lon"),
-    ).where(F.col("_lat").isNotNull())
-    seen = known.groupBy("sender_iban").transformWithStateInPandas(
-        LastLocation(ttl_hours), outputStructType=StructType.fromDDL(_OUT.strip()),
-        outputMode="Append", timeMode="ProcessingTime",
+        *_COLUMNS, F.unix_micros("timestamp").alias("at_us"), point["lat"].alias("lat"),
+        point["lon"].alias("lon"),
+    ).where(F.col("lat").isNotNull())
+    seen = known.groupBy("sender_iban").applyInPandasWithState(
+        _follow(ttl_hours * 3_600_000), f"{_ROW}, {_LAST}", _STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
-    here_point = S.city_point(F.col("sender_city"))
-    here = F.struct(
-        F.unix_micros("timestamp").alias("t"), F.col("transaction_id").alias("id"),
-        F.col("sender_city").alias("city"), here_point["lat"].alias("lat"),
-        here_point["lon"].alias("lon"),
+
+    def place(t: str, tid: str, city: str, lat: str, lon: str) -> F.Column:
+        names = ("t", "id", "city", "lat", "lon")
+        return F.struct(*[F.col(c).alias(n) for c, n in zip((t, tid, city, lat, lon), names)])
+
+    here = place("at_us", "transaction_id", "sender_city", "lat", "lon")
+    last = place("last_us", "last_id", "last_city", "last_lat", "last_lon")
+    return seen.select(
+        *_COLUMNS, here.alias("here"), F.when(F.col("last_us").isNotNull(), last).alias("last")
     )
-    return seen.withColumn("here", here)
 
 
 def travel_stream(
