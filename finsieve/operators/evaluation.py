@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,30 +14,34 @@ from finsieve.operators.prefix import exact_percentiles
 _BUCKETS = 4096
 
 
-def score_table(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row per distinct score, best first in order, with running counts.
+def score_table(
+    scored: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()
+) -> DataFrame:
+    """One row per key and distinct score, best first, with running counts.
 
     ``pos, neg`` at the score, ``cum_pos, cum_neg`` at or above it, and the totals.
     Equal scores collapse in a partial aggregate; buckets of scores are then summed
     before rows are ordered inside them.
     """
-    counts = scored.groupBy(F.col(score).alias("score")).agg(
+    keys = list(keys)
+    counts = scored.groupBy(*keys, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
     counts = counts.withColumn("_bucket", F.floor(F.col("score") * _BUCKETS))
     ranked = grouped_prefix(
-        counts, [], "_bucket", F.desc("score"), F.desc("_bucket"), ["pos", "neg"]
+        counts, keys, "_bucket", F.desc("score"), F.desc("_bucket"), ["pos", "neg"]
     )
-    totals = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    # The totals are one row.
-    return ranked.crossJoin(F.broadcast(totals)).drop("_bucket")
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    # One row per key, a single row without keys.
+    joined = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
+    return joined.drop("_bucket")
 
 
-def ranking_metrics(table: DataFrame) -> DataFrame:
-    """One row: average precision and the area under the ROC curve (ties count half)."""
+def ranking_metrics(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Average precision and area under the ROC curve (ties count half), per key."""
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     above = F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0
-    return table.agg(
+    return table.groupBy(*keys).agg(
         F.sum(F.col("pos") / F.col("all_pos") * precision).alias("pr_auc"),
         (
             F.sum(F.col("neg") * above) / F.max(F.col("all_pos").cast("double") * F.col("all_neg"))

@@ -6,6 +6,7 @@ from finsieve.plans import (  # noqa: F401
     alerts,
     graph,
     kyc,
+    models,
     monitoring,
     streams,
     transactions,
