@@ -190,14 +190,14 @@ def _judged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.drop(columns=["_start", "_chunk"])
 
 
-def _chunk_map(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _chunk_map(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Where a chunk of updates leads from each possible status."""
     pdf = pdf.sort_values(["at", "update_seq"], kind="stable")
     ends = [_walk(pdf, s)[-1][1] for s in STATUSES]
     return pd.DataFrame({"case_id": [key[0]], "_chunk": [key[1]], "ends": [ends]})
 
 
-def _chunk_starts(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _chunk_starts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Status at the start of each chunk, by following the chunk maps."""
     pdf = pdf.sort_values("_chunk")
     status, starts = pdf["initial"].iloc[0], []

@@ -28,7 +28,8 @@ MONEY = "decimal(38,4)"
 def graph_edges(received: DataFrame) -> DataFrame:
     """One edge per transaction, with the defaults of the graph store."""
     def or_else(name: str, default: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(default)).alias(name)
+        given = [F.col(name)] if name in received.columns else []
+        return F.coalesce(*given, F.lit(default)).alias(name)
 
     return received.select(
         F.col("sender_iban").alias("src"),
@@ -212,9 +213,8 @@ def find_rings(
     allowed = F.col("n_dst_rank") <= F.col("root_rank")
     if simple:
         visited = F.transform("steps", lambda s: s["src"])
-        allowed &= (F.col("n_dst_rank") < F.col("root_rank")) & ~F.array_contains(
-            visited, F.col("n_dst")
-        )
+        fresh = ~F.array_contains(visited, F.col("n_dst")) & (F.col("n_dst") != F.col("last"))
+        allowed &= (F.col("n_dst_rank") < F.col("root_rank")) & fresh
     start_ok = F.col("dst_rank") < F.col("src_rank") if simple else (
         F.col("dst_rank") <= F.col("src_rank")
     )
@@ -256,7 +256,8 @@ def all_rings(
     rings = find_rings(
         edges, min_hops, max_hops, largest_per_pair=limit + max_hops, **options
     ).where(F.col("total_amount") >= F.lit(min_amount).cast(MONEY))
-    order = [F.desc("total_amount"), F.array_sort("transaction_ids")]
+    # Equal totals go by the transactions as a set, then by their order on the ring.
+    order = [F.desc("total_amount"), F.array_sort("transaction_ids"), "transaction_ids"]
     if dedupe:
         return rings.orderBy(*order).limit(limit).drop("steps")
     spun = rings.select(
@@ -268,7 +269,7 @@ def all_rings(
             )
         ).alias("steps"),
     )
-    return _describe(spun).orderBy(*order, "transaction_ids").limit(limit).drop("steps")
+    return _describe(spun).orderBy(*order).limit(limit).drop("steps")
 
 
 def rings_through(
@@ -331,7 +332,10 @@ def longest_rings(
     t = F.unix_micros("timestamp")
     recent = edges.where((t > now - days * S.DAY_US) & (t <= now))
     rings = find_rings(recent, min_hops, max_hops, **options)
-    order = [F.desc("hops"), F.desc("total_amount"), F.array_sort("transaction_ids")]
+    order = [
+        F.desc("hops"), F.desc("total_amount"), F.array_sort("transaction_ids"),
+        "transaction_ids",
+    ]
     return rings.orderBy(*order).limit(limit).drop("steps")
 
 

@@ -87,7 +87,7 @@ def rings_through_account(spark: SparkSession, sf_dir: str) -> DataFrame:
                        CASE WHEN total > 100000 THEN 'critical' ELSE 'high' END AS severity
                 FROM walks WHERE last = root AND hops BETWEEN 3 AND 5 AND total >= 700
                   AND ids[1] = list_min(ids)
-                ORDER BY total DESC, list_sort(ids) LIMIT 50""",
+                ORDER BY total DESC, list_sort(ids), ids LIMIT 50""",
         )
     ),
 )
@@ -125,7 +125,7 @@ def rings_every_start(spark: SparkSession, sf_dir: str) -> DataFrame:
             + _walks(6, edges="recent"),
             f"""SELECT {_RING_SELECT} FROM walks
                 WHERE last = root AND hops BETWEEN 3 AND 6 AND ids[1] = list_min(ids)
-                ORDER BY hops DESC, total DESC, list_sort(ids) LIMIT 100""",
+                ORDER BY hops DESC, total DESC, list_sort(ids), ids LIMIT 100""",
         )
     ),
 )
