@@ -12,13 +12,18 @@ from finsieve import vocab
 HOUR_US = 3_600 * 1_000_000
 DAY_US = 24 * HOUR_US
 
+# All characters Unicode counts as white space; trimming by set needs no regex.
+_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _OFFSET = r"(?:[Zz]|[+-]\d{2}:?\d{2})$"
 
 
 # --- missing values, codes, amounts -----------------------------------------------------
 def is_missing(col: Column) -> Column:
     """Null, NaN text or blank (Unicode white space counts as blank)."""
-    return col.isNull() | ~col.rlike(r"(?U)\S")
+    return col.isNull() | (strip(col) == "")
 
 
 def filled(col: Column) -> Column:
@@ -27,7 +32,7 @@ def filled(col: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.trim(col, F.lit(_SPACE))
 
 
 def normal_code(col: Column) -> Column:

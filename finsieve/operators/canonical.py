@@ -37,7 +37,7 @@ def from_received(df: DataFrame) -> DataFrame:
 
 
 def input_errors(df: DataFrame) -> Column:
-    """Array of error texts per canonical row; empty for a good row."""
+    """Reasons against a canonical row, joined by ``; ``; empty for a good row."""
     types = dict(df.dtypes)
     checks = []
     for field in vocab.REQUIRED_FIELDS:
@@ -62,11 +62,11 @@ def input_errors(df: DataFrame) -> Column:
                 F.lit("timestamp must carry an offset"),
             )
         )
-    return F.array_compact(F.array(*checks))
+    return F.concat_ws("; ", *checks)
 
 
 def canonicalize(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Validate, default and normalise; one ``errors`` array column is added.
+    """Validate, default and normalise; an ``errors`` text column is added.
 
     Only declared columns and those named in ``keep`` are carried along, so label
     columns can never reach the features.
@@ -104,21 +104,20 @@ def canonicalize(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def accepted(canonical: DataFrame) -> DataFrame:
-    return canonical.where(F.size("errors") == 0).drop("errors")
+    return canonical.where(F.col("errors") == "").drop("errors")
 
 
 def rejected(canonical: DataFrame) -> DataFrame:
-    return canonical.where(F.size("errors") > 0)
+    return canonical.where(F.col("errors") != "")
 
 
 def require_valid(canonical: DataFrame) -> DataFrame:
     """Strict mode: fail the job on the first bad row, inside the scan of the rows."""
     first = F.concat(
-        F.lit("bad transaction "), F.coalesce("transaction_id", F.lit("?")), F.lit(": "),
-        F.element_at("errors", 1),
+        F.lit("bad transaction "), F.coalesce("transaction_id", F.lit("?")), F.lit(": "), "errors"
     )
-    checked = F.when(F.size("errors") > 0, F.raise_error(first)).otherwise(F.col("errors"))
-    return canonical.withColumn("errors", checked).where(F.size("errors") == 0).drop("errors")
+    checked = F.when(F.col("errors") != "", F.raise_error(first)).otherwise(F.col("errors"))
+    return canonical.withColumn("errors", checked).where(F.col("errors") == "").drop("errors")
 
 
 def row_features(canonical: DataFrame) -> list[Column]:

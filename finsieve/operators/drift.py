@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsieve.operators.prefix import running_counts
+from finsieve.session import cut_lineage
 
 _BINS = 10
 
@@ -21,10 +22,14 @@ def common_columns(a: DataFrame, b: DataFrame, exclude: Sequence[str] = ()) -> l
     return sorted((set(a.columns) & set(b.columns)) - set(exclude))
 
 
-def long_values(
+def value_counts(
     reference: DataFrame, current: DataFrame, features: Sequence[str], kind: str = "double"
 ) -> DataFrame:
-    """(feature, value, is_ref) rows of both tables without missing values."""
+    """(feature, value, ref, cur): how often each value occurs in both tables.
+
+    Missing values are dropped. All drift figures follow from these counts, so the
+    tables are read once; the counts are kept for the several passes over them.
+    """
 
     def side(df: DataFrame, is_ref: bool) -> DataFrame:
         typed = df.select(*[F.col(f).cast(kind).alias(f) for f in features])
@@ -34,30 +39,27 @@ def long_values(
             keep &= ~F.isnan("value")
         return rows.where(keep).withColumn("is_ref", F.lit(is_ref))
 
-    return side(reference, True).unionByName(side(current, False))
-
-
-def _sides(is_ref: Column, n: Column | None = None) -> list[Column]:
-    one = F.lit(1) if n is None else n
-    return [
-        F.sum(F.when(is_ref, one).otherwise(0)).alias("ref"),
-        F.sum(F.when(is_ref, 0).otherwise(one)).alias("cur"),
-    ]
+    rows = side(reference, True).unionByName(side(current, False))
+    counts = rows.groupBy("feature", "value").agg(
+        F.count_if("is_ref").alias("ref"), F.count_if(~F.col("is_ref")).alias("cur")
+    )
+    return cut_lineage(counts)
 
 
-def psi(values: DataFrame) -> DataFrame:
+def psi(counts: DataFrame) -> DataFrame:
     """(feature, psi): ten even bins over the joint range, counts smoothed by one."""
-    lows = values.groupBy("feature").agg(
-        F.min("value").alias("low"), F.max("value").alias("high"), *_sides(F.col("is_ref"))
-    ).withColumnsRenamed({"ref": "n_ref", "cur": "n_cur"})
+    lows = counts.groupBy("feature").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"),
+        F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"),
+    )
     step = (F.col("high") - F.col("low")) / _BINS
     reached = F.lit(0)
     for i in range(1, _BINS):
         reached += (F.col("value") >= F.col("low") + step * i).cast("int")
     # One row per feature.
-    binned = values.join(F.broadcast(lows), "feature").groupBy(
+    binned = counts.join(F.broadcast(lows), "feature").groupBy(
         "feature", reached.alias("bin")
-    ).agg(*_sides(F.col("is_ref")))
+    ).agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
     every = lows.select(
         "feature", "n_ref", "n_cur", F.explode(F.sequence(F.lit(0), F.lit(_BINS - 1))).alias("bin")
     )
@@ -67,13 +69,12 @@ def psi(values: DataFrame) -> DataFrame:
     return full.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
 
 
-def ks_test(values: DataFrame) -> DataFrame:
+def ks_test(counts: DataFrame) -> DataFrame:
     """(feature, statistic, p_value): largest gap of the two distributions.
 
-    Values are counted first; running shares come from the two-level prefix sums. The
-    p-value is the asymptotic series.
+    Running shares come from the two-level prefix sums; the p-value is the asymptotic
+    series.
     """
-    counts = values.groupBy("feature", "value").agg(*_sides(F.col("is_ref")))
     ranked = running_counts(counts, ["feature"], "value", ["ref", "cur"])
     totals = counts.groupBy("feature").agg(
         F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur")
@@ -92,6 +93,36 @@ def ks_test(values: DataFrame) -> DataFrame:
     return found.select("feature", "statistic", p.alias("p_value"))
 
 
+def moments(counts: DataFrame) -> DataFrame:
+    """Mean and population deviation of both sides, around the joint mean for accuracy."""
+    n = F.col("ref") + F.col("cur")
+    centre = counts.groupBy("feature").agg((F.sum(F.col("value") * n) / F.sum(n)).alias("m"))
+    # One row per feature.
+    rows = counts.join(F.broadcast(centre), "feature")
+    d = F.col("value") - F.col("m")
+
+    def side(name: str) -> list[Column]:
+        n = F.col(name)
+        return [F.sum(n).alias(f"n_{name}"), F.sum(d * n).alias(f"s_{name}"),
+                F.sum(d * d * n).alias(f"q_{name}")]
+
+    sums = rows.groupBy("feature").agg(F.max("m").alias("m"), *side("ref"), *side("cur"))
+    sums = sums.where("n_ref > 0 and n_cur > 0")
+
+    def mean(name: str) -> Column:
+        return F.col(f"s_{name}") / F.col(f"n_{name}")
+
+    def deviation(name: str) -> Column:
+        spread = F.col(f"q_{name}") / F.col(f"n_{name}") - mean(name) * mean(name)
+        return F.sqrt(F.greatest(spread, F.lit(0.0)))
+
+    return sums.select(
+        "feature", (F.col("m") + mean("ref")).alias("reference_mean"),
+        deviation("ref").alias("reference_std"), (F.col("m") + mean("cur")).alias("current_mean"),
+        deviation("cur").alias("current_std"),
+    )
+
+
 def _chi_square_tail(x: float, df: float) -> float:
     """Upper tail of the chi-square distribution (series below, fraction above)."""
     if x <= 0 or df <= 0:
@@ -120,12 +151,12 @@ def _chi_square_tail(x: float, df: float) -> float:
     return min(1.0, scale * h)
 
 
-def chi_square_test(values: DataFrame) -> DataFrame:
+def chi_square_test(counts: DataFrame) -> DataFrame:
     """(feature, statistic, p_value) for categories, counts smoothed by one.
 
     Expected counts are scaled to the current total.
     """
-    counts = values.groupBy("feature", "value").agg(*_sides(F.col("is_ref"))).select(
+    counts = counts.select(
         "feature", (F.col("ref") + 1).alias("r"), (F.col("cur") + 1).alias("c")
     )
     totals = counts.groupBy("feature").agg(F.sum("r").alias("n_r"), F.sum("c").alias("n_c"))
@@ -160,24 +191,19 @@ def feature_report(
     labels = [n for n in names if n in categorical]
     parts = []
     if numeric:
-        values = long_values(reference, current, numeric)
-        ref, cur = F.col("is_ref"), ~F.col("is_ref")
-        moments = values.groupBy("feature").agg(
-            F.avg(F.when(ref, F.col("value"))).alias("reference_mean"),
-            F.stddev_pop(F.when(ref, F.col("value"))).alias("reference_std"),
-            F.avg(F.when(cur, F.col("value"))).alias("current_mean"),
-            F.stddev_pop(F.when(cur, F.col("value"))).alias("current_std"),
-        ).where("reference_mean is not null and current_mean is not null")
+        counts = value_counts(reference, current, numeric)
         parts.append(
-            moments.join(ks_test(values), "feature").join(psi(values), "feature")
+            moments(counts).join(ks_test(counts), "feature").join(psi(counts), "feature")
             .withColumn("test", F.lit("ks_test"))
         )
     if labels:
-        values = long_values(reference, current, labels, "string")
-        both = values.groupBy("feature").agg(*_sides(F.col("is_ref"))).where("ref > 0 and cur > 0")
+        counts = value_counts(reference, current, labels, "string")
+        both = counts.groupBy("feature").agg(
+            F.sum("ref").alias("ref"), F.sum("cur").alias("cur")
+        ).where("ref > 0 and cur > 0")
         none = F.lit(None).cast("double")
         parts.append(
-            chi_square_test(values).join(both.select("feature"), "feature", "left_semi").select(
+            chi_square_test(counts).join(both.select("feature"), "feature", "left_semi").select(
                 "feature", none.alias("reference_mean"), none.alias("reference_std"),
                 none.alias("current_mean"), none.alias("current_std"), "statistic", "p_value",
                 F.lit(0.0).alias("psi"), F.lit("chi_square").alias("test"),

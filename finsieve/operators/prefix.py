@@ -8,34 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsieve.operators.ordering import grouped_prefix
-
-_CUTS = 64
-
-
-def value_buckets(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per key, approximate quantiles that cut the values into even buckets.
-
-    Only the evenness of buckets is approximate; results stay exact, because a bucket
-    is any set of neighbouring values. One row per key.
-    """
-    shares = F.array(*[F.lit(i / _CUTS) for i in range(1, _CUTS)])
-    edges = F.percentile_approx(value, shares, F.lit(1000)).alias("_edges")
-    return values.groupBy(*keys).agg(edges)
+from finsieve.session import cut_lineage
 
 
 def running_counts(
     counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]
 ) -> DataFrame:
-    """Inclusive ``cum_<name>`` in value order for one-row-per-value counts."""
+    """Inclusive ``cum_<name>`` in value order for one-row-per-value counts.
+
+    Spark's range partitioning cuts the values into even runs whatever their
+    distribution; the run a value fell into is written down once, since a second
+    sampling could cut elsewhere.
+    """
     keys = list(keys)
-    edges = value_buckets(counts, keys, value)
-    bucket = F.size(F.filter("_edges", lambda e: e < F.col(value))).alias("_bucket")
-    # One edge list per key: a single row, or as many rows as there are features.
-    joined = counts.join(edges, keys) if keys else counts.crossJoin(edges)
-    rows = joined.select(*counts.columns, bucket)
-    return grouped_prefix(
-        rows, keys, "_bucket", F.col(value), F.col("_bucket"), sums
-    ).drop("_bucket")
+    runs = counts.repartitionByRange(*keys, value).withColumn("_run", F.spark_partition_id())
+    runs = cut_lineage(runs)
+    return grouped_prefix(runs, keys, "_run", F.col(value), F.col("_run"), sums).drop("_run")
 
 
 def exact_percentiles(
@@ -43,6 +31,7 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row with exact percentiles (linear between neighbours), n and max."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    counts = cut_lineage(counts)
     total = counts.agg(F.sum("n").alias("_total"), F.max(value).alias("_max"))
     ranked = running_counts(counts, [], value, ["n"]).crossJoin(total)
 

@@ -234,7 +234,7 @@ def documents_received(diligence: DataFrame, submissions: DataFrame) -> DataFram
     The verified mark is the one of the newest submission.
     """
     needed = diligence.select(
-        "customer_id", F.explode("required_documents").alias("document_type")
+        "customer_id", F.explode_outer("required_documents").alias("document_type")
     )
     given = submissions.groupBy("customer_id", "document_type").agg(
         F.max(F.struct("submitted_at", "verified"))["verified"].alias("verified")
@@ -255,7 +255,7 @@ def documents_received(diligence: DataFrame, submissions: DataFrame) -> DataFram
         .withColumn("documents_complete", complete)
         .withColumn(
             "cdd_status",
-            F.when(F.exists(F.array(complete), lambda c: c) & waiting, vocab.CDD_REVIEW)
+            F.when(F.coalesce(complete, F.lit(False)) & waiting, vocab.CDD_REVIEW)
             .otherwise(F.col("cdd_status")),
         )
     )

@@ -328,7 +328,7 @@ psi AS (
 )
 def population_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSI of three numeric columns before and after a day."""
-    found = D.psi(D.long_values(*_halves(spark, sf_dir), _NUMBERS))
+    found = D.psi(D.value_counts(*_halves(spark, sf_dir), _NUMBERS))
     return found.select("feature", F.round("psi", 6).alias("psi"))
 
 
@@ -352,7 +352,7 @@ ks AS (SELECT feature, max(gap) AS statistic FROM gaps GROUP BY feature)"""
 )
 def ks_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kolmogorov-Smirnov statistic of three numeric columns."""
-    found = D.ks_test(D.long_values(*_halves(spark, sf_dir), _NUMBERS))
+    found = D.ks_test(D.value_counts(*_halves(spark, sf_dir), _NUMBERS))
     return found.select("feature", F.round("statistic", 9).alias("statistic"))
 
 
@@ -375,7 +375,7 @@ def ks_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def category_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chi-square statistic of two category columns."""
-    values = D.long_values(
+    values = D.value_counts(
         *_halves(spark, sf_dir), ("l_linestatus", "l_returnflag"), "string"
     )
     found = D.chi_square_test(values)

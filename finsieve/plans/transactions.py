@@ -76,9 +76,10 @@ def rejected_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("TRY").alias("payment_currency"),
     )
     bad = C.rejected(C.canonicalize(raw, keep=("seq",)))
+    reasons = F.split("errors", "; ")
     return bad.select(
-        "seq", F.size("errors").cast("long").alias("error_count"),
-        F.element_at("errors", 1).alias("first_error"),
+        "seq", F.size(reasons).cast("long").alias("error_count"),
+        reasons[0].alias("first_error"),
     )
 
 
