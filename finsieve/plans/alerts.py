@@ -14,6 +14,7 @@ from finsieve.operators.ordering import mark_first
 from finsieve.options import DetectionOptions
 from finsieve.plans import tables as T
 from finsieve.plans.registry import query
+from finsieve.plans.transactions import _HISTORY_SQL
 
 _KINDS = {
     "click": "circular_ring", "view": "impossible_travel", "purchase": "blacklist_keyword",
@@ -316,7 +317,17 @@ def high_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("F12", None)
+@query(
+    "F12",
+    T.with_ctes(
+        T.CANONICAL + ", features AS (" + _HISTORY_SQL.format(probes="tx", history="rec") + ")",
+        """
+        SELECT seq, transaction_id, sender_tx_count_24h >= 4 AS velocity_anomaly,
+               receiver_unique_senders_7d >= 20 AS mule_account
+        FROM features WHERE sender_tx_count_24h >= 4 OR receiver_unique_senders_7d >= 20
+        """,
+    ),
+)
 def velocity_and_mules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Busy senders and accounts that collect from many senders."""
     from finsieve.operators.history import build_features
@@ -697,14 +708,87 @@ def update_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("H10", None)
+_IS_OPEN = "IN ('" + "', '".join(vocab.OPEN_STATUSES) + "')"
+_IS_DONE = "IN ('" + "', '".join(vocab.RESOLVED_STATUSES) + "')"
+
+_JUDGED = (
+    _CASES.replace("user_id % 2 = 0 AS str", "user_id AS number, user_id % 2 = 0 AS str")
+    + f""",
+log AS (
+  SELECT 'CASE-' || CAST(user_id AS VARCHAR) AS case_id, event_id AS n, ts,
+         CASE WHEN event_id % 3 = 0 THEN {T._sql_cycle(_STATUSES[:7], "event_id % 7")} END AS wanted,
+         CASE WHEN event_id % 4 = 0 THEN 'P' || CAST(event_id % 16 // 4 + 1 AS VARCHAR) END
+           AS priority,
+         CASE WHEN event_id % 6 = 0 THEN 'analyst' || CAST(event_id % 5 AS VARCHAR) END AS assigned,
+         CASE WHEN event_id % 5 = 0 THEN 'reason ' || CAST(event_id % 10 AS VARCHAR) END AS reason,
+         CASE WHEN event_id % 7 = 0 THEN 'note ' || CAST(event_id AS VARCHAR) END AS note,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
+  FROM events),
+walk AS (
+  SELECT case_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS n, status AS before,
+         status AS after, CAST(NULL AS VARCHAR) AS code
+  FROM cases
+  UNION ALL
+  SELECT case_id, i, n, before,
+         CASE WHEN code IS NULL AND wanted IS NOT NULL THEN wanted ELSE before END, code
+  FROM (
+    SELECT l.case_id, l.i, l.n, w.after AS before, l.wanted,
+           CASE WHEN l.wanted <> w.after THEN
+             CASE WHEN w.after = 'closed' OR (w.after {_IS_DONE}
+                       AND l.wanted NOT IN ('closed', 'investigating'))
+                    THEN 'invalid_status_transition'
+                  WHEN l.wanted {_IS_DONE} AND l.reason IS NULL THEN 'resolution_required' END
+             WHEN l.reason IS NOT NULL AND NOT w.after {_IS_DONE} THEN 'resolution_not_allowed'
+           END AS code
+    FROM walk w JOIN log l ON l.case_id = w.case_id AND l.i = w.i + 1)
+),
+good AS (SELECT l.*, w.before, w.after FROM walk w JOIN log l ON l.n = w.n WHERE w.code IS NULL)"""
+)
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "H10",
+    _recursive(
+        T.with_ctes(
+            _JUDGED,
+            """
+            SELECT case_id, n AS update_seq, before AS status_before, after AS status_after, code
+            FROM walk WHERE i > 0
+            """,
+        )
+    ),
+)
 def judged_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status before and after every update request, and why it was refused."""
     rows = K.judge_updates(cases(spark, sf_dir), update_log(spark, sf_dir))
     return rows.select("case_id", "update_seq", "status_before", "status_after", "code")
 
 
-@query("H10", None)
+@query(
+    "H10",
+    _recursive(
+        T.with_ctes(
+            _JUDGED,
+            """
+            SELECT c.case_id, coalesce(g.after, c.status) AS status,
+                   coalesce(g.priority, c.priority) AS priority,
+                   coalesce(g.assigned, c.assigned_to) AS assigned_to,
+                   coalesce(g.reason, CASE WHEN c.number % 8 = 5 THEN 'confirmed' END)
+                     AS resolution,
+                   coalesce(g.notes, 0) AS notes_count, g.note AS last_note
+            FROM cases c LEFT JOIN (
+              SELECT case_id, arg_max(after, i) AS after, arg_max(priority, i) AS priority,
+                     arg_max(assigned, i) AS assigned, arg_max(reason, i) AS reason,
+                     count(note) AS notes, arg_max(note, i) AS note
+              FROM good GROUP BY case_id) g ON g.case_id = c.case_id
+            """,
+        )
+    ),
+)
 def cases_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases after all accepted updates."""
     base = cases(spark, sf_dir)
@@ -713,13 +797,66 @@ def cases_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "notes_count", "last_note")
 
 
-@query("H10 H12", None)
+@query(
+    "H10 H12",
+    _recursive(
+        T.with_ctes(
+            _JUDGED
+            + """,
+            past AS (
+              SELECT g.*,
+                coalesce(last_value(g.priority IGNORE NULLS) OVER w, c.priority) AS old_p,
+                coalesce(last_value(g.assigned IGNORE NULLS) OVER w, c.assigned_to) AS old_a,
+                coalesce(last_value(g.reason IGNORE NULLS) OVER w,
+                         CASE WHEN c.number % 8 = 5 THEN 'confirmed' END) AS old_r
+              FROM good g JOIN cases c ON c.case_id = g.case_id
+              WINDOW w AS (PARTITION BY g.case_id ORDER BY g.i
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            made AS (
+              SELECT case_id, n, 'case_status_changed' AS event_type, before AS previous_value,
+                     after AS new_value FROM past WHERE before <> after
+              UNION ALL SELECT case_id, n, 'case_resolution_updated', old_r, reason FROM past
+              WHERE before = after AND reason IS NOT NULL AND reason IS DISTINCT FROM old_r
+              UNION ALL SELECT case_id, n, 'case_priority_changed', old_p, priority FROM past
+              WHERE priority IS NOT NULL AND priority IS DISTINCT FROM old_p
+              UNION ALL SELECT case_id, n, 'case_assigned', old_a, assigned FROM past
+              WHERE assigned IS NOT NULL AND assigned IS DISTINCT FROM old_a
+              UNION ALL SELECT case_id, n, 'note_added', NULL, note FROM past
+              WHERE note IS NOT NULL)""",
+            "SELECT case_id, n AS update_seq, event_type, previous_value, new_value FROM made",
+        )
+    ),
+)
 def case_audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit events of all accepted updates."""
     base = cases(spark, sf_dir)
-    judged = K.judge_updates(base, update_log(spark, sf_dir))
-    return K.case_events(base, judged).select(
-        "event_id", "case_id", "event_type", "previous_value", "new_value"
+    events = K.case_events(base, K.judge_updates(base, update_log(spark, sf_dir)))
+    return events.select(
+        "case_id", F.split("event_id", "-")[3].cast("long").alias("update_seq"), "event_type",
+        "previous_value", "new_value",
+    )
+
+
+@query(
+    "H12 C7",
+    _recursive(
+        T.with_ctes(
+            _JUDGED,
+            """
+            SELECT n AS update_seq, before AS previous_value, after AS new_value FROM good
+            WHERE case_id = 'CASE-8' AND before <> after ORDER BY ts DESC, n DESC LIMIT 50
+            """,
+        )
+    ),
+)
+def case_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest status changes of one case."""
+    base = cases(spark, sf_dir)
+    events = K.case_events(base, K.judge_updates(base, update_log(spark, sf_dir)))
+    rows, _ = K.timeline(events, "CASE-8", "case_status_changed")
+    return rows.select(
+        F.split("event_id", "-")[3].cast("long").alias("update_seq"), "previous_value",
+        "new_value",
     )
 
 

@@ -407,7 +407,46 @@ def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("K5 K6 K8", None)
+@query(
+    "K2 K4 K5 K6",
+    T.with_ctes(
+        _SIDES + "," + _PSI + "," + _KS
+        + """,
+        sizes AS (SELECT feature, sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) AS root
+                  FROM lows),
+        tested AS (
+          SELECT k.feature, CASE WHEN s.root * k.statistic < 0.2 THEN 1.0 ELSE least(1, greatest(0,
+                   2 * (SELECT sum(CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END
+                          * exp(-2.0 * i * i * (s.root * k.statistic) ^ 2))
+                        FROM range(1, 101) AS r(i)))) END AS p
+          FROM ks k JOIN sizes s ON s.feature = k.feature),
+        total AS (SELECT count(*) AS n, count(*) FILTER (p < 0.05) AS drifted,
+                         avg(1 - p) AS score FROM tested)""",
+        """
+        SELECT drifted > 0 AS has_drift, n AS total_features, drifted AS drifted_features,
+               round(100.0 * drifted / n, 6) AS drift_percentage,
+               round(score, 6) AS overall_drift_score,
+               CASE WHEN drifted = 0 THEN 'none' WHEN 100.0 * drifted / n > 50 THEN 'critical'
+                    WHEN 100.0 * drifted / n > 30 THEN 'high' WHEN 100.0 * drifted / n > 15
+                    THEN 'medium' ELSE 'low' END AS severity
+        FROM total
+        """,
+    ),
+)
+def data_drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row over all numeric features."""
+    rows = D.feature_report(
+        *_halves(spark, sf_dir), exclude=("l_linestatus", "l_returnflag")
+    )
+    row = D.data_report(rows)
+    return row.select(
+        "has_drift", F.col("total_features").cast("long").alias("total_features"),
+        "drifted_features", F.round("drift_percentage", 6).alias("drift_percentage"),
+        F.round("overall_drift_score", 6).alias("overall_drift_score"), "severity",
+    )
+
+
+@query("K3 K5 K6 K8", None)
 def data_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row over all features, with advice."""
     rows = D.feature_report(
@@ -748,3 +787,49 @@ def experiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def experiment_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests by status with their samples."""
     return X.ab_overview(variants(spark), X.outcome_totals(outcomes(spark, sf_dir)))
+
+
+# --- stored tables --------------------------------------------------------------------------------------------
+@query(
+    "A11",
+    T.with_ctes(
+        _DAILY, "SELECT user_id, n_events, total FROM daily WHERE at_time < TIMESTAMP '2024-01-12'"
+    ),
+)
+def ingested_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily features appended to the store in two parts and read back by time."""
+    from finsieve.session import work_folder
+    from finsieve.sources import files
+
+    path = work_folder(spark, "store")
+    rows = daily_features(spark, sf_dir)
+    cut = F.col("event_timestamp") < F.lit("2024-01-08").cast("timestamp")
+    for part in (rows.where(cut), rows.where(~cut)):
+        files.ingest(_GROUP, part, path)
+    stored = files.read_group(spark, _GROUP, path)
+    end = F.lit("2024-01-11 23:59:59").cast("timestamp")
+    return V.range_read(_GROUP, stored, end=end).select("user_id", "n_events", "total")
+
+
+@query(
+    "A12",
+    T.with_ctes(
+        _METRICS,
+        """
+        SELECT 'R2' AS report_id, 'model' AS kind, bool_or(change < -0.05) AS has_drift
+        FROM changes
+        """,
+    ),
+)
+def newest_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reports written, the newest of its kind read back."""
+    from finsieve.session import work_folder
+    from finsieve.sources import files
+
+    path = work_folder(spark, "reports")
+    report = D.model_report(_changes(spark, sf_dir)).drop("drifted")
+    files.append_report(report, path, "model", "R1", "2024-01-01")
+    files.append_report(report, path, "model", "R2", "2024-01-02")
+    found = files.list_reports(spark, path, "model", 1)
+    flag = F.get_json_object("body", "$.has_drift").cast("boolean")
+    return found.select("report_id", "kind", flag.alias("has_drift"))

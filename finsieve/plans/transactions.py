@@ -439,3 +439,43 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         broken("sender_latitude range", "bad_latitude"),
         broken("currency length", "bad_currency"),
     )
+
+
+@query(
+    "A3 B8",
+    T.with_ctes(
+        T.CANONICAL,
+        """
+        SELECT transaction_id, CAST(epoch(ts) AS BIGINT) AS unix_time, sender AS sender_account,
+               amount, rec AS received_currency FROM tx
+        """,
+    ),
+)
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions written as JSON lines, read back and validated."""
+    from finsieve import schemas
+    from finsieve.session import work_folder
+    from finsieve.sources.files import read_jsonl
+
+    path = work_folder(spark, "jsonl")
+    rows = C.from_received(T.received(spark, sf_dir))
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    rows.withColumn("timestamp", stamp).select(*schemas.CANONICAL_COLUMNS).write.json(path)
+    back = C.accepted(C.canonicalize(read_jsonl(spark, path)))
+    return back.select(
+        "transaction_id", T.short_time(F.col("timestamp")).alias("unix_time"),
+        "sender_account", "amount", "received_currency",
+    )
+
+
+@query(
+    "B27",
+    """
+    SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 9) AS probability FROM customer
+    """,
+)
+def sigmoid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances squeezed into probabilities."""
+    rows = T.table(spark, sf_dir, "customer")
+    p = S.sigmoid(F.col("c_acctbal") / 1000)
+    return rows.select("c_custkey", F.round(p, 9).alias("probability"))
