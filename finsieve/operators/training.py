@@ -138,25 +138,26 @@ def top_contributions(parts: Column, k: int = 5) -> Column:
 
 def explain_linear(rows: DataFrame, model: LinearModel, k: int = 5) -> DataFrame:
     """Score, base value and strongest contributions of every row."""
+    names = vocab.FEATURE_NAMES
+    priced = rows.withColumns({f"_c_{n}": part for n, part in model.parts().items()})
+    margin = F.lit(model.intercept)
+    for n in names:
+        margin += F.col(f"_c_{n}")
     parts = F.array(
         *[
             F.struct(
-                F.lit(name).alias("feature"), F.col(name).cast("double").alias("value"),
-                part.alias("contribution"),
+                F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"),
+                F.col(f"_c_{n}").alias("contribution"),
             )
-            for name, part in model.parts().items()
+            for n in names
         ]
     )
-    return rows.withColumn("_parts", parts).withColumns(
+    return priced.withColumns(
         {
-            "base_value": F.lit(model.intercept),
-            "score": sigmoid(
-                F.lit(model.intercept)
-                + F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["contribution"])
-            ),
-            "top_features": top_contributions(F.col("_parts"), k),
+            "base_value": F.lit(model.intercept), "score": sigmoid(margin),
+            "top_features": top_contributions(parts, k),
         }
-    ).drop("_parts")
+    ).drop(*[f"_c_{n}" for n in names])
 
 
 # --- boosted trees ---------------------------------------------------------------------------------------

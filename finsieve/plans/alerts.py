@@ -247,7 +247,8 @@ rings AS (SELECT * FROM walks WHERE last = root AND hops BETWEEN 3 AND 4)"""
 )
 def ring_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfers whose sender is on a ring of the last week, with the largest ring."""
-    rows = mark_first(T.received(spark, sf_dir), "transaction_id", ("timestamp", "seq"))
+    valid = T.received(spark, sf_dir).where("amount > 0")
+    rows = mark_first(valid, "transaction_id", ("timestamp", "seq"))
     rows = rows.where(F.col("is_first") & (F.col("amount") > 100))
     found = D.ring_alerts(rows, DetectionOptions(ring_max_hops=4))
     total = F.get_json_object("details", "$.total_amount").cast("double")

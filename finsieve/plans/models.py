@@ -132,7 +132,8 @@ def stored_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of transactions at or above the threshold; repeated ids raise none."""
     canonical = T.canonical(spark, sf_dir)
-    scored = M.explain_linear(build_features(canonical), stored_model())
+    features = cut_lineage(build_features(canonical))
+    scored = M.explain_linear(features, stored_model())
     first = mark_first(canonical, "transaction_id", ("timestamp", "seq")).select(
         "seq", "is_first"
     )

@@ -100,7 +100,7 @@ tx AS (
          upper(trim(coalesce(sender_country, 'TR'))) AS s_country,
          upper(trim(coalesce(receiver_country, 'TR'))) AS r_country,
          coalesce(translate(lower(trim(payment_type)), '- ', '__'), 'unknown') AS payment_type
-  FROM received
+  FROM received WHERE amount > 0
 ),
 rec AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY ts, seq) AS rn
@@ -137,7 +137,8 @@ def money_edges(spark: SparkSession, sf_dir: str, at_least: float) -> DataFrame:
     """Large transfers of ``events`` as graph edges, one per transaction id."""
     from finsieve.operators.ordering import mark_first
 
-    rows = mark_first(received(spark, sf_dir), "transaction_id", ("timestamp", "seq"))
+    valid = received(spark, sf_dir).where("amount > 0")
+    rows = mark_first(valid, "transaction_id", ("timestamp", "seq"))
     return rows.where(F.col("is_first") & (F.col("amount") > at_least)).select(
         F.col("sender_iban").alias("src"), F.col("receiver_iban").alias("dst"),
         "transaction_id", "timestamp", "amount", "fraud_type",
