@@ -71,7 +71,7 @@ def scaled_amount(col: Column, factor: float = vocab.AMOUNT_SCALE) -> Column:
     return F.rint(col * F.lit(float(factor)) * 100.0) / 100.0
 
 
-# --- time ---------------------------------------------------------------------------------
+# --- time --------------------------------------------------------------------------------
 def has_offset(text: Column) -> Column:
     return text.rlike(_OFFSET)
 
@@ -156,7 +156,7 @@ def city_point(city: Column) -> Column:
     return F.try_element_at(points, city)
 
 
-# --- text -----------------------------------------------------------------------------------
+# --- text --------------------------------------------------------------------------------
 def normal_name(col: Column) -> Column:
     """Lower case, word characters and single spaces only."""
     words = F.regexp_replace(F.lower(col), r"(?U)[^\w\s]", "")

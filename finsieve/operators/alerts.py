@@ -13,7 +13,7 @@ from finsieve.operators.ordering import newest_page
 ALERT_KEYS = ("transaction_id", "fraud_type")
 
 
-# --- filters -----------------------------------------------------------------------------------------
+# --- filters --------------------------------------------------------------------------------
 def filtered(
     df: DataFrame,
     equals: Mapping[str, object] | None = None,
@@ -99,7 +99,7 @@ def dismiss(alerts: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-# --- summaries -----------------------------------------------------------------------------------------
+# --- summaries --------------------------------------------------------------------------------
 def transaction_summary(rows: DataFrame, alerts: DataFrame) -> DataFrame:
     """Processing result per transaction. A transaction has at most one alert per type."""
     found = first_per_key(alerts).groupBy("transaction_id").agg(

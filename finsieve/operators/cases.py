@@ -120,7 +120,7 @@ def case_alerts(cases: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
-# --- SLA and transitions -------------------------------------------------------------------------------------
+# --- SLA and transitions --------------------------------------------------------------------------------
 def sla_due(priority: Column, created_at: Column) -> Column:
     hours = F.try_element_at(lookup(vocab.SLA_HOURS), priority)
     return F.timestamp_micros(F.unix_micros(created_at) + hours * F.lit(3_600_000_000))
@@ -149,7 +149,7 @@ def is_valid_transition(current: Column, new: Column) -> Column:
     return F.coalesce(F.concat_ws(">", current, new).isin(*ALLOWED), F.lit(False))
 
 
-# --- update log ------------------------------------------------------------------------------------------------
+# --- update log --------------------------------------------------------------------------------
 def _verdict(status: str, wanted: str | None, resolution: str | None) -> tuple[str, str | None]:
     """(status after the update, error code). A refused update changes nothing."""
     text = (resolution or "").strip()
@@ -353,7 +353,7 @@ def case_events(cases: DataFrame, judged: DataFrame) -> DataFrame:
     )
 
 
-# --- linking alerts ----------------------------------------------------------------------------------------------
+# --- linking alerts --------------------------------------------------------------------------------
 def judge_links(requests: DataFrame, alerts: DataFrame, cases: DataFrame) -> DataFrame:
     """Verdict for requests ``request_seq, case_id, alert_id``, handled in seq order.
 

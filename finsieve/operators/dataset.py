@@ -17,7 +17,7 @@ CATEGORY_COLUMNS = (
 )
 
 
-# --- splits ----------------------------------------------------------------------------------------------
+# --- splits --------------------------------------------------------------------------------
 def split_boundaries(
     df: DataFrame, train: float = vocab.TRAIN_FRACTION, val: float = vocab.VAL_FRACTION,
     time_col: str = "timestamp",
@@ -84,7 +84,7 @@ def check_splits(df: DataFrame, time_col: str = "timestamp") -> None:
             raise InputError(f"{earlier} does not end before {later}")
 
 
-# --- manifest ----------------------------------------------------------------------------------------------
+# --- manifest --------------------------------------------------------------------------------
 def manifest_totals(df: DataFrame) -> DataFrame:
     """One row: rows, positives, rate, time span, accounts, unknown categories."""
     positive = F.col("is_laundering") == 1
@@ -135,7 +135,7 @@ def dataset_id(prefix: str, source_hash: str, parameters: dict[str, object]) ->
     return f"{prefix}-{hashlib.sha256(text.encode()).hexdigest()[:12]}"
 
 
-# --- sampling ------------------------------------------------------------------------------------------------
+# --- sampling --------------------------------------------------------------------------------
 def unit_hash(seed: int, *key: Column) -> Column:
     """A number in [0, 1) that depends only on the key and the seed."""
     mixed = F.xxhash64(F.lit(seed), *key)

@@ -137,7 +137,7 @@ def travel_detections(moved: DataFrame, options: DetectionOptions) -> DataFrame:
     )
 
 
-# --- blacklist --------------------------------------------------------------------------------------
+# --- blacklist --------------------------------------------------------------------------------
 def blacklisted(rows: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:
     """Transactions whose description contains a listed word."""
     words = S.found_keywords(F.col("description"), options.blacklist)
@@ -156,7 +156,7 @@ def blacklisted(rows: DataFrame, options: DetectionOptions = DetectionOptions())
     )
 
 
-# --- rings ------------------------------------------------------------------------------------------
+# --- rings --------------------------------------------------------------------------------
 def _power_of_two(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), level)
 
@@ -267,7 +267,7 @@ def ring_alerts(
     )
 
 
-# --- model ------------------------------------------------------------------------------------------
+# --- model --------------------------------------------------------------------------------
 def model_severity(score: Column, critical: float = vocab.CRITICAL_SCORE) -> Column:
     return F.when(score >= critical, F.lit("critical")).otherwise(F.lit("high"))
 
@@ -304,7 +304,7 @@ def model_alerts(
     )
 
 
-# --- declared patterns ---------------------------------------------------------------------------------
+# --- declared patterns --------------------------------------------------------------------------------
 def structuring(
     rows: DataFrame, options: DetectionOptions = DetectionOptions()
 ) -> DataFrame:
@@ -333,7 +333,7 @@ def high_value(rows: DataFrame, options: DetectionOptions = DetectionOptions())
     return rows.where(F.col("amount") >= options.high_value_amount)
 
 
-# --- alerts and counters ---------------------------------------------------------------------------------
+# --- alerts and counters --------------------------------------------------------------------------------
 def to_alerts(detections: DataFrame) -> DataFrame:
     """Detections to alert records. The id follows from transaction and type."""
     none = F.lit(None)

@@ -24,7 +24,7 @@ from finsieve.session import cut_lineage
 MONEY = "decimal(38,4)"
 
 
-# --- ingest ------------------------------------------------------------------------------------
+# --- ingest --------------------------------------------------------------------------------
 def graph_edges(received: DataFrame) -> DataFrame:
     """One edge per transaction, with the defaults of the graph store."""
     def or_else(name: str, default: str) -> Column:
@@ -77,7 +77,7 @@ def graph_nodes(received: DataFrame, batch: bool = False) -> DataFrame:
     return ends.groupBy("iban").agg(newest("name"), newest("city"))
 
 
-# --- rings ---------------------------------------------------------------------------------------
+# --- rings --------------------------------------------------------------------------------
 def _core(edges: DataFrame) -> DataFrame:
     return edges.select(
         "src", "dst", F.col("transaction_id").alias("id"),

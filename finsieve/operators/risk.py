@@ -180,7 +180,7 @@ def summary(assessed: DataFrame) -> DataFrame:
     )
 
 
-# --- due diligence --------------------------------------------------------------------------------------
+# --- due diligence --------------------------------------------------------------------------------
 def diligence_level() -> Column:
     flag = F.lit(False)
     for name in ("is_pep", "is_pep_relative", "has_adverse_media"):

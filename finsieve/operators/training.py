@@ -48,7 +48,7 @@ def check_features(columns: Sequence[str], version: str = vocab.FEATURE_SET_VERS
         raise InputError("feature columns differ from the model's in name or order")
 
 
-# --- logistic baseline ---------------------------------------------------------------------------------
+# --- logistic baseline --------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class LinearModel:
     """Everything needed to score a row without Spark ML."""
@@ -160,7 +160,7 @@ def explain_linear(rows: DataFrame, model: LinearModel, k: int = 5) -> DataFrame
     ).drop(*[f"_c_{n}" for n in names])
 
 
-# --- boosted trees ---------------------------------------------------------------------------------------
+# --- boosted trees --------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Tree:
     """One regression tree as arrays; leaves point to themselves."""
@@ -357,7 +357,7 @@ def grid_results(
     return out, models
 
 
-# --- two stages ----------------------------------------------------------------------------------------------
+# --- two stages --------------------------------------------------------------------------------
 def select_model(
     spark, features_path: str, out_path: str, floor: float = vocab.MIN_PRECISION,
 ) -> LinearModel:

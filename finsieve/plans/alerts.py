@@ -119,7 +119,7 @@ def _at(text: str = _AS_OF) -> Column:
     return F.lit(text).cast("timestamp")
 
 
-# --- detectors --------------------------------------------------------------------------------------------
+# --- detectors --------------------------------------------------------------------------------
 _POINTS = "(VALUES " + ", ".join(
     f"('{name}', {lat}, {lon})" for name, (lat, lon) in vocab.CITY_COORDINATES.items()
 ) + ") AS p(city, lat, lon)"
@@ -559,7 +559,7 @@ def repaired_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- cases ---------------------------------------------------------------------------------------------------
+# --- cases --------------------------------------------------------------------------------
 @query(
     "H5 B28",
     T.with_ctes(

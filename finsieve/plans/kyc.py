@@ -304,7 +304,7 @@ def diligence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.diligence_stats(R.diligence_status(opened, log))
 
 
-# --- screening ------------------------------------------------------------------------------------------
+# --- screening --------------------------------------------------------------------------------
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as people: two words of the name, with the type as a third."""
     return T.table(spark, sf_dir, "part").select(

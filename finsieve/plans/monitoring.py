@@ -15,7 +15,7 @@ from finsieve.plans import tables as T
 from finsieve.plans.registry import query
 
 
-# --- dataset --------------------------------------------------------------------------------------------
+# --- dataset --------------------------------------------------------------------------------
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical transactions with a label: large amounts, typed by payment type."""
     rows = T.canonical(spark, sf_dir)
@@ -120,7 +120,7 @@ def sampled_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("is_laundering").agg(F.count("*").alias("rows"))
 
 
-# --- evaluation -------------------------------------------------------------------------------------------
+# --- evaluation --------------------------------------------------------------------------------
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a score from their length (many ties)."""
     docs = T.table(spark, sf_dir, "documents")
@@ -275,7 +275,7 @@ def target_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("metric", F.round("value", 9).alias("value"), "passed")
 
 
-# --- drift --------------------------------------------------------------------------------------------------
+# --- drift --------------------------------------------------------------------------------
 _CUT = "1998-01-01"
 _NUMBERS = ("l_discount", "l_extendedprice", "l_quantity")
 
@@ -514,7 +514,7 @@ def model_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select("has_drift", F.round("worst", 6).alias("worst"), "severity")
 
 
-# --- feature store ------------------------------------------------------------------------------------------
+# --- feature store --------------------------------------------------------------------------------
 _GROUP = V.FeatureGroup("daily_activity", "user_id", "event_timestamp", ("n_events", "total"))
 
 
@@ -645,7 +645,7 @@ def store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- experiments -----------------------------------------------------------------------------------------------
+# --- experiments --------------------------------------------------------------------------------
 _VARIANTS = (
     ("T0", "running", 0, "control", 0.5, True), ("T0", "running", 1, "new", 0.5, False),
     ("T1", "running", 0, "control", 0.7, True), ("T1", "running", 1, "b", 0.2, False),
@@ -789,7 +789,7 @@ def experiment_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.ab_overview(variants(spark), X.outcome_totals(outcomes(spark, sf_dir)))
 
 
-# --- stored tables --------------------------------------------------------------------------------------------
+# --- stored tables --------------------------------------------------------------------------------
 @query(
     "A11",
     T.with_ctes(

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from finsieve import vocab
 from finsieve.functions import scalars as S
-from finsieve.functions.identity import display_identity
 from finsieve.operators import canonical as C
 from finsieve.operators import history as H
-from finsieve.operators import ordering as O
 from finsieve.plans import tables as T
 from finsieve.plans.registry import query
 

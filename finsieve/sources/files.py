@@ -42,7 +42,7 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# --- canonical tables ------------------------------------------------------------------------------------
+# --- canonical tables --------------------------------------------------------------------------------
 def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Labelled dataset as Parquet, one folder per split, sorted by time inside files."""
     columns = [*schemas.DATASET_COLUMNS, "split"]
@@ -102,7 +102,7 @@ def read_group(spark: SparkSession, group: FeatureGroup, path: str) -> DataFrame
     return spark.read.parquet(f"{path.rstrip('/')}/{group.name}")
 
 
-# --- reports -----------------------------------------------------------------------------------------------------
+# --- reports --------------------------------------------------------------------------------
 def append_report(report: DataFrame, path: str, kind: str, report_id: str, at: str) -> None:
     """Keep a one-row report as JSON text with its kind and time."""
     body = F.to_json(F.struct(*report.columns)).alias("body")

@@ -18,7 +18,7 @@ from finsieve.sources.files import path_exists
 from finsieve.streaming.travel import travel_stream
 
 
-# --- duplicates ------------------------------------------------------------------------------------------
+# --- duplicates --------------------------------------------------------------------------------
 def deduplicated(rows: DataFrame, horizon: str = "7 days") -> DataFrame:
     """First copy of each transaction id; ids are remembered for the horizon of event time."""
     return rows.withWatermark("timestamp", horizon).dropDuplicatesWithinWatermark(
@@ -83,7 +83,7 @@ class RingWatch:
         return found
 
 
-# --- detection job --------------------------------------------------------------------------------------------
+# --- detection job --------------------------------------------------------------------------------
 def detection_writers(
     rows: DataFrame, alert_path: str, edge_path: str, checkpoint: str,
     options: DetectionOptions = DetectionOptions(),
@@ -135,7 +135,7 @@ def publish_alerts(alerts: DataFrame, target: str, options: dict[str, str]) -> D
     return alert_messages(alerts).writeStream.format(target).options(**options)
 
 
-# --- rate rules -------------------------------------------------------------------------------------------------
+# --- rate rules --------------------------------------------------------------------------------
 def rate_windows(
     rows: DataFrame, time: str, hit: Column, width: str = "5 minutes", every: str = "30 seconds"
 ) -> DataFrame:
@@ -181,7 +181,7 @@ def high_error_rate(rejects: DataFrame, time: str, per_second: float = 10.0) ->
     return held(windows, F.col("hits") / 300.0 > per_second)
 
 
-# --- drift watch ----------------------------------------------------------------------------------------------------
+# --- drift watch --------------------------------------------------------------------------------
 class DriftWatch:
     """Checks the newest ``size`` rows against a reference once that many have come."""
 
@@ -212,7 +212,7 @@ class DriftWatch:
         return drift_ops.data_recommendations(drift_ops.data_report(features))
 
 
-# --- live view --------------------------------------------------------------------------------------------------------
+# --- live view --------------------------------------------------------------------------------
 def live_view(alerts: DataFrame) -> DataFrame:
     """Streaming tallies per type and severity, for complete mode."""
     return alerts.groupBy("fraud_type", "severity").agg(
