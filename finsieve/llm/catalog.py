@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from finsieve.llm import exact_dedup, quality_rules
+from finsieve.llm import exact_dedup, packing, quality_model, quality_rules
 from finsieve.session import configure
 
-_RUNS = (exact_dedup.op1_exact_dedup, quality_rules.op6_quality_rules)
+_RUNS = (
+    exact_dedup.op1_exact_dedup,
+    quality_rules.op6_quality_rules,
+    quality_model.op7_quality_classifier,
+    packing.op8_best_fit_packing,
+)
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
