@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from finsieve.llm import exact_dedup, packing, quality_model, quality_rules
+from finsieve.llm import (
+    exact_dedup,
+    near_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    substring_dedup,
+)
 from finsieve.session import configure
 
 _RUNS = (
@@ -10,11 +17,14 @@ _RUNS = (
     quality_rules.op6_quality_rules,
     quality_model.op7_quality_classifier,
     packing.op8_best_fit_packing,
+    substring_dedup.op9_substring_dedup,
+    near_dedup.op10_minhash_near_dedup,
 )
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
 }
 
 
