@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finsieve.llm.common import free_name, keyed, split_words, store, table
 from finsieve.session import work_folder
@@ -380,7 +381,8 @@ def deduplicate(
     spans, cut = free_name(docs, "spans"), free_name(docs, "cut")
     found = repeated_spans(texts, window).select(F.col("row_key").alias(key), F.col("spans").alias(spans))
     joined = rows.join(found.hint("merge"), key, "left").select(*docs.columns, spans)
-    schema = docs.schema.add(cut, "struct<n_words:long,n_removed:long,kept_text:string>")
+    result = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField(cut, result)])
     at, names = docs.columns.index(text_column), [*docs.columns, cut]
     return joined.mapInArrow(_cut(at, len(docs.columns), names), schema), cut
 
