@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from finsieve.llm import (
     exact_dedup,
+    license_scan,
     near_dedup,
     packing,
     quality_model,
     quality_rules,
     substring_dedup,
+    token_counts,
 )
 from finsieve.session import configure
 
 _RUNS = (
     exact_dedup.op1_exact_dedup,
+    token_counts.op4_token_counts,
+    license_scan.op5_license_scan,
     quality_rules.op6_quality_rules,
     quality_model.op7_quality_classifier,
     packing.op8_best_fit_packing,
@@ -23,6 +27,7 @@ _RUNS = (
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op5_license_scan": license_scan.OP5_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
 }

@@ -32,8 +32,8 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, chunk by chunk.
 
-    Python workers live on between tasks, and so does the cache, which is emptied when
-    it holds ``_CACHED_CHUNKS`` chunks.
+    ``known`` has the ids of chunks, ``spaced`` those of words with a space in front. Python workers live on between tasks, and so does the cache, which is emptied when
+    it would hold more than ``_CACHED_CHUNKS`` chunks.
     """
 
     def __init__(self, path: str):
@@ -42,6 +42,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         # Each character of a token stands for one byte of the text.
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -54,36 +55,69 @@ class ChunkEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _make_room(self) -> None:
+        if len(self.known) + len(self.spaced) > _CACHED_CHUNKS:
+            self.known, self.spaced = {}, {}
+
+    def _cut(self, texts: list[str]) -> list[list[str]]:
         chunks = [CHUNKS.findall(t) for t in texts]
-        new = list({c for found in chunks for c in found} - self.known.keys())
-        if len(self.known) + len(new) > _CACHED_CHUNKS:
-            self.known = {}
-            new = list({c for found in chunks for c in found})
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, found)) for found in chunks]
+        self._know({c for found in chunks for c in found})
+        return chunks
 
+    def _know(self, chunks: set[str]) -> None:
+        new = list(chunks - self.known.keys())
+        self.known.update(zip(new, self._encoded(new)))
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, many in one call where they may stand side by side."""
+    def chunked(self, texts: list[str]) -> list[list[str]]:
+        """The chunks of each text; ``known`` holds them all until the next call."""
+        self._make_room()
+        return self._cut(texts)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        self._make_room()
+        # Most texts have words with one space or line feed between them, and no regular
+        # expression is needed to cut these.
+        words = [t.split() for t in texts]
+        plain = [bool(w) and " ".join(w) == t.replace("\n", " ") for t, w in zip(texts, words)]
+        others = iter(self._cut([t for t, p in zip(texts, plain) if not p]))
+        new = list(set().union(*[w for w, p in zip(words, plain) if p]) - self.spaced.keys())
+        self.spaced.update(zip(new, self._encoded([" " + w for w in new])))
+        lines = [[line.split(" ") for line in t.split("\n")] if p else [] for t, p in zip(texts, plain)]
+        self._know({"\n" + line[0] for cut in lines for line in cut[1:]} | {cut[0][0] for cut in lines if cut})
+        get, spaced = self.known.__getitem__, self.spaced.__getitem__
+        out = []
+        for cut in lines:
+            if not cut:
+                out.append(b"".join(map(get, next(others))))
+                continue
+            parts = [get(cut[0][0]), *map(spaced, cut[0][1:])]
+            for line in cut[1:]:
+                parts.append(get("\n" + line[0]))
+                parts += map(spaced, line[1:])
+            out.append(b"".join(parts))
+        return out
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk; many in one call where they may stand side by side."""
+        out: list[bytes] = [b""] * len(chunks)
         side_by_side = []
-        for chunk in chunks:
+        for i, chunk in enumerate(chunks):
             if _BLANK_FIRST.match(chunk):
-                side_by_side.append(chunk)
+                side_by_side.append(i)
             else:
                 ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-                self.known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        groups = [side_by_side[at : at + 500] for at in range(0, len(side_by_side), 500)]
-        for group in groups:
-            code = self.tokenizer.encode("".join(group), add_special_tokens=False)
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        for at in range(0, len(side_by_side), 500):
+            group = side_by_side[at : at + 500]
+            code = self.tokenizer.encode("".join([chunks[i] for i in group]), add_special_tokens=False)
             ids = np.array(code.ids, dtype="<u4")
-            ends = np.cumsum([len(c.encode()) for c in group])
+            ends = np.cumsum([len(chunks[i].encode()) for i in group])
             stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             raw, start = ids.tobytes(), 0
-            for chunk, stop in zip(group, stops.tolist()):
-                self.known[chunk] = raw[4 * start : 4 * stop]
+            for i, stop in zip(group, stops.tolist()):
+                out[i] = raw[4 * start : 4 * stop]
                 start = stop
+        return out
 
 
 def _parts(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
