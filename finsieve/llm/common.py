@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,18 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def text_parts(texts: list[str], most_chars: int = 2_000_000) -> Iterator[slice]:
+    """Slices of a batch whose texts together stay near ``most_chars``; at least one text each."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= most_chars:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def store(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Write ``df`` below the cluster's shared folder and read it back.
 

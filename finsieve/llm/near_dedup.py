@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm.common import keyed, split_words, store, table
+from finsieve.llm.common import keyed, split_words, store, table, text_parts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -27,8 +27,7 @@ REGISTERS = BANDS * ROWS
 #: happens with probability below 1e-20.
 LEAST_ESTIMATE = 0.4
 
-_SHINGLES_AT_ONCE = 2_000_000
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,23 +106,12 @@ def signatures(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int)
     return (winner >> np.uint64(32)).astype("<u4").reshape(texts, REGISTERS)
 
 
-def _slices(bags: list[list[bytes]]) -> Iterator[slice]:
-    start = size = 0
-    for i, bag in enumerate(bags):
-        size += len(bag)
-        if size >= _SHINGLES_AT_ONCE:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(bags):
-        yield slice(start, len(bags))
-
-
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [split_words(t) for t in batch.column(2).to_pylist()]
+        texts = [t or "" for t in batch.column(2).to_pylist()]
         digests, signed = [], []
-        for part in _slices(bags):
-            words = bags[part]
+        for part in text_parts(texts):
+            words = [split_words(t) for t in texts[part]]
             digests += [hashlib.blake2b(b" ".join(b), digest_size=16).digest() for b in words]
             raw = signatures(*shingles_of(words), len(words))
             signed += [row.tobytes() if b else None for row, b in zip(raw, words)]
@@ -143,10 +131,10 @@ def sketch(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: st
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [split_words(t) for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
         hashes, counts = [], []
-        for part in _slices(bags):
-            owner, h, c = shingles_of(bags[part])
+        for part in text_parts(texts):
+            owner, h, c = shingles_of([split_words(t) for t in texts[part]])
             cuts = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
             for a, b in zip(cuts, cuts[1:]):
                 hashes.append(h[a:b].tobytes())

@@ -6,6 +6,7 @@ import math
 import re
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm.common import keyed, store, table
+from finsieve.llm.common import store, table, text_parts
 
 CAPACITY = 2048
 OPEN_BINS = 4096
@@ -29,6 +30,11 @@ _BLANK_FIRST = re.compile("[^\\S\x1c-\x1f]+[\\S\x1c-\x1f]")
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+def _line_starts(text: str) -> list[int]:
+    """The numbers of the words that begin a line, in a text with single blanks between words."""
+    return [0, *accumulate(line.count(" ") + 1 for line in text.split("\n")[:-1])]
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, chunk by chunk.
 
@@ -65,7 +71,7 @@ class ChunkEncoder:
         return chunks
 
     def _know(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
+        new = list(chunks.difference(self.known))
         self.known.update(zip(new, self._encoded(new)))
 
     def chunked(self, texts: list[str]) -> list[list[str]]:
@@ -80,20 +86,21 @@ class ChunkEncoder:
         words = [t.split() for t in texts]
         plain = [bool(w) and " ".join(w) == t.replace("\n", " ") for t, w in zip(texts, words)]
         others = iter(self._cut([t for t, p in zip(texts, plain) if not p]))
-        new = list(set().union(*[w for w, p in zip(words, plain) if p]) - self.spaced.keys())
+        new = list(set().union(*[w for w, p in zip(words, plain) if p]).difference(self.spaced))
         self.spaced.update(zip(new, self._encoded([" " + w for w in new])))
-        lines = [[line.split(" ") for line in t.split("\n")] if p else [] for t, p in zip(texts, plain)]
-        self._know({"\n" + line[0] for cut in lines for line in cut[1:]} | {cut[0][0] for cut in lines if cut})
+        starts = [_line_starts(t) if p else [] for t, p in zip(texts, plain)]
+        self._know({
+            "\n" + w[at] if at else w[0] for w, found in zip(words, starts) for at in found
+        })
         get, spaced = self.known.__getitem__, self.spaced.__getitem__
         out = []
-        for cut in lines:
-            if not cut:
+        for w, found in zip(words, starts):
+            if not found:
                 out.append(b"".join(map(get, next(others))))
                 continue
-            parts = [get(cut[0][0]), *map(spaced, cut[0][1:])]
-            for line in cut[1:]:
-                parts.append(get("\n" + line[0]))
-                parts += map(spaced, line[1:])
+            parts = list(map(spaced, w))
+            for at in found:
+                parts[at] = get("\n" + w[at] if at else w[0])
             out.append(b"".join(parts))
         return out
 
@@ -120,18 +127,6 @@ class ChunkEncoder:
         return out
 
 
-def _parts(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Index ranges of a batch whose texts together stay near ``most_chars``."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= most_chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0,
     id_column: str = "doc_id", text_column: str = "text", key: str | None = None,
@@ -149,9 +144,9 @@ def encode_pieces(
         encode = ChunkEncoder.at(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            for start, stop in _parts(texts):
+            for part in text_parts(texts):
                 at, number, begin, length, ids = [], [], [], [], []
-                for i, code in zip(range(start, stop), encode(texts[start:stop])):
+                for i, code in enumerate(encode(texts[part]), part.start):
                     code += end
                     n = len(code) // 4
                     cut = n % capacity or capacity

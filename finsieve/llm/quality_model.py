@@ -59,7 +59,7 @@ class PassageMeasures:
         if len(self.numbers) > _CACHED_WORDS:
             self.__init__()
         numbers = self.numbers
-        for word in set(words) - numbers.keys():
+        for word in set(words).difference(numbers):
             numbers[word] = len(self.rows)
             self.rows.append(_word_row(word))
         if len(self.rows) > len(self.matrix):

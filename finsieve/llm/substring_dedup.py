@@ -28,15 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finsieve.llm.common import free_name, keyed, split_words, store, table
+from finsieve.llm.common import free_name, keyed, split_words, store, table, text_parts
 from finsieve.session import work_folder
 
 WINDOW = 20
 GRAM = 5
 PIECES_PER_SHARD = 4000
 
-_WORDS_AT_ONCE = 1_000_000
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 300_000
 
 
 class _WordHashes(dict):
@@ -90,23 +89,13 @@ def anchor_runs(bags: list[list[bytes]], window: int, gram: int) -> tuple[np.nda
     return text[first], rank[starts[first]], rank[starts[last]], least[starts[first]].view(np.int64)
 
 
-def _slices(bags: list[list[bytes]]) -> Iterator[slice]:
-    start = size = 0
-    for i, bag in enumerate(bags):
-        size += len(bag)
-        if size >= _WORDS_AT_ONCE:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(bags):
-        yield slice(start, len(bags))
-
-
 def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [split_words(t) for t in batch.column(1).to_pylist()]
-            for part in _slices(bags):
-                text, _, _, anchor = anchor_runs(bags[part], window, gram)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for part in text_parts(texts):
+                bags = [split_words(t) for t in texts[part]]
+                text, _, _, anchor = anchor_runs(bags, window, gram)
                 order = np.lexsort((anchor, text))
                 text, anchor = text[order], anchor[order]
                 new = np.ones(len(text), bool)
@@ -126,10 +115,11 @@ def _anchors(window: int, gram: int):
 def _pieces(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [split_words(t) for t in batch.column(2).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             wanted = batch.column(3).to_pylist()
-            for part in _slices(bags):
-                text, first, last, anchor = anchor_runs(bags[part], window, gram)
+            for part in text_parts(texts):
+                bags = [split_words(t) for t in texts[part]]
+                text, first, last, anchor = anchor_runs(bags, window, gram)
                 known = [frozenset(w) for w in wanted[part]]
                 at, start, size, code, words = [], [], [], [], []
                 for t, a, b, h in zip(text.tolist(), first.tolist(), last.tolist(), anchor.tolist()):
@@ -139,7 +129,7 @@ def _pieces(window: int, gram: int):
                         start.append(a)
                         size.append(stop - a)
                         code.append(h)
-                        words.append(b" ".join(bags[part.start + t][a:stop]))
+                        words.append(b" ".join(bags[t][a:stop]))
                 index = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
