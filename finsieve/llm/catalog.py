@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from finsieve.llm import (
     exact_dedup,
+    language_model,
     license_scan,
     near_dedup,
     packing,
@@ -16,6 +17,7 @@ from finsieve.session import configure
 
 _RUNS = (
     exact_dedup.op1_exact_dedup,
+    language_model.op2_lm_scoring,
     token_counts.op4_token_counts,
     license_scan.op5_license_scan,
     quality_rules.op6_quality_rules,
