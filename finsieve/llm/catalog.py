@@ -8,6 +8,7 @@ from finsieve.llm import (
     license_scan,
     near_dedup,
     packing,
+    pieces,
     quality_model,
     quality_rules,
     substring_dedup,
@@ -18,6 +19,7 @@ from finsieve.session import configure
 _RUNS = (
     exact_dedup.op1_exact_dedup,
     language_model.op2_lm_scoring,
+    pieces.op3_sentencepiece,
     token_counts.op4_token_counts,
     license_scan.op5_license_scan,
     quality_rules.op6_quality_rules,
