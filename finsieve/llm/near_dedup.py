@@ -20,8 +20,8 @@ from finsieve.llm.common import keyed, split_words, store, table, text_parts
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair at 0.8 shares no band with probability (1 - 0.8^5)^30 = 7e-6.
-BANDS, ROWS = 30, 5
+#: A pair at 0.8 shares no band with probability (1 - 0.8^5)^40 = 1e-7, and less than two with 3e-6.
+BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 #: Pairs whose signatures agree in less than this share are not verified; at 0.8 that
 #: happens with probability below 1e-20.
@@ -256,8 +256,9 @@ def near_duplicates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
 
     Equal texts are one node from the start. In a bucket every node is compared with the
     smallest one. Only buckets whose nodes are then in different classes are looked at
-    again, each node there against those outside its class and outside the bucket's
-    largest class; so a group of very many copies is never paired with itself.
+    again: there the nodes of the largest class meet all others, and the others meet each
+    other if two such buckets bring them together. So a group of very many copies is never
+    paired with itself, nor are texts that share one common passage.
     """
     rows = store(sketch(docs, key, id_column, text_column), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
@@ -294,13 +295,35 @@ def near_duplicates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
         .where("labels > 1").select("key", F.col("top.label").alias("top"))
     )
     inside = store(named.join(mixed, "key"), "mixed-buckets")
-    others = inside.where("label <> top").select(
-        "key", F.col("node").alias("b"), F.col("label").alias("label_b")
+    others = inside.where("label <> top").select("key", F.col("node").alias("b"), "label")
+    with_top = (
+        inside.where("label = top").select("key", F.col("node").alias("a"))
+        .join(others.select("key", "b"), "key").select("a", "b")
+    )
+    # Nodes outside the largest class may be many, each in a class of its own, where texts
+    # share no more than a common passage: they have to meet in two buckets.
+    of_node = others.groupBy(F.col("b").alias("node"), "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    two = F.flatten(
+        F.transform(
+            "keys",
+            lambda k, i: F.transform(
+                F.slice("keys", i + 2, F.size("keys")), lambda other: F.xxhash64(k, other)
+            ),
+        )
+    )
+    twice = store(of_node.where("size(keys) > 1").select("node", "label", F.explode(two).alias("two")), "two-buckets")
+    pairs = (
+        twice.groupBy("two").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        .where("least <> most").select("two")
+    )
+    meeting = twice.join(pairs, "two")
+    without_top = (
+        meeting.select("two", F.col("node").alias("a"), F.col("label").alias("label_a"))
+        .join(meeting.select("two", F.col("node").alias("b"), F.col("label").alias("label_b")), "two")
+        .where("a < b AND label_a <> label_b").select("a", "b")
     )
     across = (
-        inside.join(others, "key")
-        .where((F.col("label") != F.col("label_b")) & ((F.col("label") == F.col("top")) | (F.col("node") < F.col("b"))))
-        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        with_top.union(without_top).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     more = verify(across, signed, shingles)
     labels = components(links.union(more))

@@ -73,8 +73,10 @@ class PieceCodec:
 
     def _merged(self, word: str) -> list[tuple[int, int]]:
         """BPE: always join the two neighbours whose edge ranks best, the leftmost of equals."""
-        if len(word) <= _SHORT:
-            return self._merged_short(word)
+        return self._merged_short(word) if len(word) <= _SHORT else self._merged_long(word)
+
+    def _merged_long(self, word: str) -> list[tuple[int, int]]:
+        """With a queue of all edges that join two neighbours."""
         edges, n = self.edges(word), len(word)
         following, before = list(range(1, n + 1)), list(range(-1, n))
         queue: list[tuple[float, int, int, int]] = []
@@ -102,7 +104,7 @@ class PieceCodec:
         return cuts
 
     def _merged_short(self, word: str) -> list[tuple[int, int]]:
-        """The same; looks only those edges up that join two neighbours."""
+        """With a list of the ranks of all neighbours: quicker for few of them."""
         get, none = self.rank.get, self.none
         cuts = list(range(len(word) + 1))
         ranks = [get(word[a : a + 2], none) for a in range(len(word) - 1)]
