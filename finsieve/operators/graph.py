@@ -94,20 +94,15 @@ def _trim(edges: DataFrame, rounds: int) -> DataFrame:
     return edges.select("src", "dst", "id", "t", "amount")
 
 
-def _largest_per_pair(edges: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` largest parallel edges of every pair (limited before the shuffle)."""
-    order = Window.partitionBy("src", "dst").orderBy(F.desc("amount"), "id")
-    return edges.withColumn("_n", F.row_number().over(order)).where(f"_n <= {keep}").drop("_n")
-
-
-def _ranked(edges: DataFrame, hub_degree: int) -> DataFrame:
-    """Add the rank of both ends: (degree if a hub else 0, account)."""
+def _ranked(edges: DataFrame) -> DataFrame:
+    """Add the rank of both ends, (degree, account): a walk never passes an account busier
+    than its start, so the two sides of a busy account are not multiplied."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
-    hubs = ends.groupBy("node").count().where(F.col("count") > hub_degree)
+    degrees = ends.groupBy("node").count()
     for end in ("src", "dst"):
-        names = hubs.select(F.col("node").alias(end), F.col("count").alias(f"_{end}_hub"))
-        rank = F.struct(F.coalesce(f"_{end}_hub", F.lit(0)).alias("d"), F.col(end).alias("n"))
-        edges = edges.join(names, end, "left").withColumn(f"{end}_rank", rank)
+        own = degrees.select(F.col("node").alias(end), F.col("count").alias(f"_{end}_degree"))
+        rank = F.struct(F.col(f"_{end}_degree").alias("d"), F.col(end).alias("n"))
+        edges = edges.join(own, end).withColumn(f"{end}_rank", rank)
     return edges.select("src", "dst", "id", "t", "amount", "src_rank", "dst_rank")
 
 
@@ -192,8 +187,6 @@ def find_rings(
     max_hops: int = 5,
     window_hours: float | None = None,
     simple: bool = False,
-    largest_per_pair: int | None = None,
-    hub_degree: int = 10_000,
     trim_rounds: int = 2,
 ) -> DataFrame:
     """Every ring once, started at its smallest transaction id.
@@ -205,10 +198,8 @@ def find_rings(
         raise ValueError("2 <= min_hops <= max_hops is required")
     window_us = None if window_hours is None else int(window_hours * S.HOUR_US)
     core = _trim(_core(edges), trim_rounds)
-    if largest_per_pair is not None:
-        core = _largest_per_pair(core, largest_per_pair)
     # Every hop reads the edges again and every open walk is both closed and extended.
-    ranked = cut_lineage(_ranked(core, hub_degree))
+    ranked = cut_lineage(_ranked(core))
     nexts = _next_edges(ranked)
     allowed = F.col("n_dst_rank") <= F.col("root_rank")
     if simple:
@@ -249,13 +240,12 @@ def all_rings(
 ) -> DataFrame:
     """The ``limit`` largest rings of the whole graph with at least ``min_amount``.
 
-    Only the ``limit + max_hops`` largest transfers of each pair can take part: a ring
-    over a smaller one has at least ``limit`` better variants of itself. Without
-    ``dedupe`` every ring appears once per starting account.
+    Without ``dedupe`` every ring appears once per starting account. The limit only cuts
+    the result: every transfer may take part in a ring.
     """
-    rings = find_rings(
-        edges, min_hops, max_hops, largest_per_pair=limit + max_hops, **options
-    ).where(F.col("total_amount") >= F.lit(min_amount).cast(MONEY))
+    rings = find_rings(edges, min_hops, max_hops, **options).where(
+        F.col("total_amount") >= F.lit(min_amount).cast(MONEY)
+    )
     # Equal totals go by the transactions as a set, then by their order on the ring.
     order = [F.desc("total_amount"), F.array_sort("transaction_ids"), "transaction_ids"]
     if dedupe:

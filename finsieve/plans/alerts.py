@@ -36,8 +36,8 @@ def _sql_map(column: str, table: dict[str, object]) -> str:
 
 # --- alerts and cases made of the events table ----------------------------------------------------------
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event above 40 as an alert of a type given by its kind."""
-    rows = T.received(spark, sf_dir).where("amount > 40")
+    """Every event as an alert of a type given by its kind."""
+    rows = T.received(spark, sf_dir)
     severity = (
         F.when(F.col("amount") > 150, "critical").when(F.col("amount") > 100, "high")
         .when(F.col("amount") > 60, "medium").otherwise("low")
@@ -76,7 +76,7 @@ alerts AS (
   FROM (SELECT *, {_sql_map("description", _KINDS)} AS kind,
                CASE WHEN amount > 150 THEN 'critical' WHEN amount > 100 THEN 'high'
                     WHEN amount > 60 THEN 'medium' ELSE 'low' END AS severity
-        FROM received WHERE amount > 40)
+        FROM received)
 )"""
 )
 
@@ -227,30 +227,30 @@ walks AS (
          CAST(w.total + CAST(e.amount AS DECIMAL(38,4)) AS DECIMAL(38,4)), w.hops + 1,
          least(w.t_min, e.ts), greatest(w.t_max, e.ts), greatest(w.k_max, (e.ts, e.id))
   FROM walks w JOIN edges e ON e.src = w.last AND NOT list_contains(w.ids, e.id)
-  WHERE w.hops < 4 AND greatest(w.t_max, e.ts) - least(w.t_min, e.ts) < INTERVAL 168 HOUR
+  WHERE w.hops < 5 AND greatest(w.t_max, e.ts) - least(w.t_min, e.ts) < INTERVAL 24 HOUR
 ),
-rings AS (SELECT * FROM walks WHERE last = root AND hops BETWEEN 3 AND 4)"""
+rings AS (SELECT * FROM walks WHERE last = root AND hops BETWEEN 3 AND 5)"""
 
 
 @query(
     "F1",
     T.with_ctes(
-        T.MONEY_EDGES.format(at_least=100) + "," + _RING_WALKS,
+        T.MONEY_EDGES.format(at_least=0) + "," + _RING_WALKS,
         """
         SELECT t.id AS transaction_id, t.src AS sender_iban,
                round(CAST(max(r.total) AS DOUBLE), 2) AS total_amount
         FROM edges t JOIN rings r ON r.root = t.src AND (t.ts, t.id) >= r.k_max
-         AND t.ts < r.t_min + INTERVAL 168 HOUR
+         AND t.ts < r.t_min + INTERVAL 24 HOUR
         GROUP BY t.id, t.src
         """,
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def ring_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transfers whose sender is on a ring of the last week, with the largest ring."""
+    """Transfers whose sender is on a ring of the last day, with the largest ring."""
     valid = T.received(spark, sf_dir).where("amount > 0")
     rows = mark_first(valid, "transaction_id", ("timestamp", "seq"))
-    rows = rows.where(F.col("is_first") & (F.col("amount") > 100))
-    found = D.ring_alerts(rows, DetectionOptions(ring_max_hops=4))
+    rows = rows.where("is_first")
+    found = D.ring_alerts(rows, DetectionOptions(ring_window_hours=24))
     total = F.get_json_object("details", "$.total_amount").cast("double")
     return found.select(
         "transaction_id", "sender_iban", F.round(total, 2).alias("total_amount")

@@ -9,13 +9,13 @@ from finsieve.operators import graph as G
 from finsieve.plans import tables as T
 from finsieve.plans.registry import query
 
-_LARGE = 150.0
+_HOURS = 24
 _AS_OF = "2024-01-20 00:00:00"
-_EDGES = T.MONEY_EDGES.format(at_least=_LARGE)
+_EDGES = T.MONEY_EDGES.format(at_least=0)
 
 
 def _money(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.money_edges(spark, sf_dir, _LARGE)
+    return T.money_edges(spark, sf_dir, 0.0)
 
 
 def _as_of(text: str = _AS_OF):
@@ -26,8 +26,9 @@ def _joined(column: str) -> F.Column:
     return F.concat_ws(",", column)
 
 
-def _walks(max_hops: int, root: str = "", edges: str = "edges") -> str:
-    """CTE ``walks``: open walks over distinct transactions."""
+def _walks(max_hops: int, root: str = "", edges: str = "edges", hours: int | None = None) -> str:
+    """CTE ``walks``: open walks over distinct transactions, within ``hours`` if given."""
+    near = f"AND greatest(w.t_max, e.ts) - least(w.t_min, e.ts) < INTERVAL {hours} HOUR" if hours else ""
     return f"""
     walks AS (
       SELECT src AS root, dst AS last, [id] AS ids, [src, dst] AS path,
@@ -38,7 +39,7 @@ def _walks(max_hops: int, root: str = "", edges: str = "edges") -> str:
              CAST(w.total + CAST(e.amount AS DECIMAL(38,4)) AS DECIMAL(38,4)), w.hops + 1,
              least(w.t_min, e.ts), greatest(w.t_max, e.ts)
       FROM walks w JOIN {edges} e ON e.src = w.last AND NOT list_contains(w.ids, e.id)
-      WHERE w.hops < {max_hops}
+      WHERE w.hops < {max_hops} {near}
     )"""
 
 
@@ -63,7 +64,7 @@ def _recursive(body: str) -> str:
     "E1",
     _recursive(
         T.with_ctes(
-            T.MONEY_EDGES.format(at_least=60)
+            _EDGES
             + f""",
             recent AS (SELECT * FROM edges WHERE ts > TIMESTAMP '{_AS_OF}' - INTERVAL 168 HOUR
                                              AND ts <= TIMESTAMP '{_AS_OF}'),"""
@@ -75,25 +76,26 @@ def _recursive(body: str) -> str:
 )
 def rings_through_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings of the last week through one account."""
-    return _ring_columns(G.rings_through(T.money_edges(spark, sf_dir, 60.0), "U17", _as_of()))
+    return _ring_columns(G.rings_through(_money(spark, sf_dir), "U17", _as_of()))
 
 
 @query(
     "E2 E4 C8",
     _recursive(
         T.with_ctes(
-            _EDGES + "," + _walks(5),
+            _EDGES + "," + _walks(5, hours=_HOURS),
             f"""SELECT {_RING_SELECT},
                        CASE WHEN total > 100000 THEN 'critical' ELSE 'high' END AS severity
-                FROM walks WHERE last = root AND hops BETWEEN 3 AND 5 AND total >= 700
+                FROM walks WHERE last = root AND hops BETWEEN 3 AND 5 AND total >= 400
                   AND ids[1] = list_min(ids)
                 ORDER BY total DESC, list_sort(ids), ids LIMIT 50""",
         )
     ),
 )
 def largest_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest rings of the whole graph, each once."""
-    rings = _ring_columns(G.all_rings(_money(spark, sf_dir), min_amount=700))
+    """The largest rings within a day in the whole graph, each once."""
+    found = G.all_rings(_money(spark, sf_dir), min_amount=400, window_hours=_HOURS)
+    rings = _ring_columns(found)
     return rings.withColumn("severity", G.ring_severity(F.col("total_amount")))
 
 
@@ -101,26 +103,28 @@ def largest_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     "E3",
     _recursive(
         T.with_ctes(
-            _EDGES + "," + _walks(4),
+            _EDGES + "," + _walks(5, hours=_HOURS),
             f"""SELECT {_RING_SELECT} FROM walks
-                WHERE last = root AND hops BETWEEN 3 AND 4 AND total >= 600
+                WHERE last = root AND hops BETWEEN 3 AND 5 AND total >= 600
                 ORDER BY total DESC, list_sort(ids), ids LIMIT 200""",
         )
     ),
 )
 def rings_every_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings once per starting account."""
+    """Rings within a day, once per starting account."""
     edges = _money(spark, sf_dir)
-    return _ring_columns(G.all_rings(edges, 3, 4, 600, limit=200, dedupe=False))
+    return _ring_columns(
+        G.all_rings(edges, 3, 5, 600, limit=200, dedupe=False, window_hours=_HOURS)
+    )
 
 
 @query(
     "E10",
     _recursive(
         T.with_ctes(
-            T.MONEY_EDGES.format(at_least=100)
+            _EDGES
             + f""",
-            recent AS (SELECT * FROM edges WHERE ts > TIMESTAMP '{_AS_OF}' - INTERVAL 7 DAY
+            recent AS (SELECT * FROM edges WHERE ts > TIMESTAMP '{_AS_OF}' - INTERVAL 1 DAY
                                              AND ts <= TIMESTAMP '{_AS_OF}'),"""
             + _walks(6, edges="recent"),
             f"""SELECT {_RING_SELECT} FROM walks
@@ -130,8 +134,8 @@ def rings_every_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def longest_recent_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings of up to six hops in the last week, longest first."""
-    return _ring_columns(G.longest_rings(T.money_edges(spark, sf_dir, 100.0), _as_of()))
+    """Rings of up to six hops in the last day, longest first."""
+    return _ring_columns(G.longest_rings(_money(spark, sf_dir), _as_of(), days=1))
 
 
 @query(

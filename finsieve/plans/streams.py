@@ -169,7 +169,7 @@ fired AS (SELECT *, CAST(hits AS DOUBLE) / rows > 0.1 AS firing FROM windows)"""
         """
         SELECT f.window_end, f.rows, f.hits FROM fired f
         WHERE (SELECT count(*) FROM fired p WHERE p.firing
-               AND p.window_end BETWEEN f.window_end - 90 AND f.window_end) = 4
+               AND p.window_end BETWEEN f.window_end - 120 AND f.window_end) = 5
         """,
     ),
 )
@@ -187,7 +187,7 @@ def high_fraud_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
         """
         SELECT f.window_end, f.hits FROM windows f
         WHERE (SELECT count(*) FROM windows p WHERE p.hits / 300.0 > 0.009
-               AND p.window_end BETWEEN f.window_end - 90 AND f.window_end) = 4
+               AND p.window_end BETWEEN f.window_end - 120 AND f.window_end) = 5
         """,
     ),
 )

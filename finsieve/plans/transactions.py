@@ -264,7 +264,8 @@ def arrival_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
                  AS unique_receivers_1d,
                count(h.seq) FILTER (h.receiver = t.receiver) = 0 AS is_new_receiver,
                CAST(coalesce(epoch(t.ts) - epoch(max(h.ts)), -1) AS DOUBLE) AS time_since_last_tx,
-               round(t.amount / avg(h.amount), 3) AS amount_to_avg_ratio
+               round(t.amount / (CAST(sum(CAST(h.amount AS DECIMAL(38,4))) AS DOUBLE) / count(h.seq)), 9)
+                 AS amount_to_avg_ratio
         FROM tx t LEFT JOIN rec h ON h.sender = t.sender
          AND (h.ts < t.ts OR (h.ts = t.ts AND h.transaction_id < t.transaction_id))
         GROUP BY t.seq, t.transaction_id, t.ts, t.amount
@@ -274,9 +275,10 @@ def arrival_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transaction_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Velocity, novelty and amount features against the sender's own past."""
     rows = H.transaction_features(T.canonical(spark, sf_dir))
-    return rows.withColumns(
-        {c: F.round(c, 3) + 0.0 for c in ("amount_zscore", "amount_to_avg_ratio")}
-    )
+    return rows.withColumns({
+        "amount_zscore": F.round("amount_zscore", 3) + 0.0,
+        "amount_to_avg_ratio": F.round("amount_to_avg_ratio", 9),
+    })
 
 
 @query(

@@ -58,7 +58,7 @@ def shared_folder(spark: SparkSession) -> str:
     known = context.getCheckpointDir()
     if known:
         return known
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="finsieve-")
 

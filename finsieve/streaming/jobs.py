@@ -149,8 +149,9 @@ def rate_windows(
     )
 
 
-def held(windows: DataFrame, firing: Column, every_seconds: int = 30, hold: int = 4) -> DataFrame:
-    """Windows at which the rule held for ``hold`` evaluations in a row without a gap.
+def held(windows: DataFrame, firing: Column, every_seconds: int = 30, hold: int = 5) -> DataFrame:
+    """Windows at which the rule held for ``hold`` evaluations in a row without a gap:
+    held for two minutes, an evaluation every 30 seconds, is true at 0, 30, 60, 90 and 120.
 
     Rows are one per evaluation time. They are spread by day; the few rows at the start
     of a day see the end of the day before through copies.
