@@ -31,8 +31,8 @@ ORDER = 2
 MIN_COUNT = 2
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
-BLOCK_CHARS = 12_000_000
-KEYS_PER_BUCKET = 4_000_000
+BLOCK_CHARS = 6_000_000
+KEYS_PER_BUCKET = 2_000_000
 
 SENT = "kind string, order int, block long, bucket int, payload array<binary>, stats array<long>"
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)

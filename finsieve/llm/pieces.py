@@ -24,7 +24,7 @@ SPACE = "▁"
 #: Spaces belong to the word behind them; no piece joins a character with a space or a
 #: line feed behind it.
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-_CACHED_WORDS = 1_200_000
+_CACHED_WORDS = 400_000
 _SHORT = 64
 _CODECS: dict[tuple[str, str], PieceCodec] = {}
 
