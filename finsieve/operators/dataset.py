@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from finsieve import vocab
 from finsieve.operators.canonical import InputError
-from finsieve.operators.ordering import grouped_prefix
+from finsieve.operators.prefix import running_counts
 
 CATEGORY_COLUMNS = (
     "payment_currency", "received_currency", "sender_country", "receiver_country",
@@ -25,15 +25,13 @@ def split_boundaries(
     """One row: ``train_start, val_start, test_start`` and ``rows``.
 
     A cut that falls inside a group of equal times moves behind the group. Rows are
-    counted per time and per day before anything is ordered.
+    counted per time, and the times summed in even runs and over runs.
     """
     if not (0 < train < 1 and 0 < val < 1 and train + val < 1):
         raise ValueError("fractions must be in (0, 1) and leave rows for the test split")
     counts = df.groupBy(F.col(time_col).alias("ts")).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("day", F.date_trunc("day", "ts"))
     total = counts.agg(F.sum("n").alias("rows"))
-    ranked = grouped_prefix(counts, [], "day", F.col("ts"), F.col("day"), ["n"])
-    ranked = ranked.crossJoin(total)
+    ranked = running_counts(counts, [], "ts", ["n"]).crossJoin(total)
     before = F.col("cum_n") - F.col("n")
 
     def start(fraction: float) -> Column:

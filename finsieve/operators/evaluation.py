@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsieve import vocab
-from finsieve.operators.ordering import grouped_prefix
-from finsieve.operators.prefix import exact_percentiles
-
-_BUCKETS = 4096
+from finsieve.operators.prefix import exact_percentiles, running_counts
 
 
 def score_table(
@@ -20,21 +17,19 @@ def score_table(
     """One row per key and distinct score, best first, with running counts.
 
     ``pos, neg`` at the score, ``cum_pos, cum_neg`` at or above it, and the totals.
-    Equal scores collapse in a partial aggregate; buckets of scores are then summed
-    before rows are ordered inside them.
+    Equal scores collapse in a partial aggregate; the distinct ones are cut into even
+    runs, wherever scores crowd, and summed in two levels.
     """
     keys = list(keys)
     counts = scored.groupBy(*keys, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
-    counts = counts.withColumn("_bucket", F.floor(F.col("score") * _BUCKETS))
-    ranked = grouped_prefix(
-        counts, keys, "_bucket", F.desc("score"), F.desc("_bucket"), ["pos", "neg"]
-    )
+    falling = counts.withColumn("_falling", -F.col("score"))
+    ranked = running_counts(falling, keys, "_falling", ["pos", "neg"]).drop("_falling")
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     # One row per key, a single row without keys.
     joined = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
-    return joined.drop("_bucket")
+    return joined
 
 
 def ranking_metrics(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -92,27 +92,29 @@ def detection_writers(
     """Writers of the continuous detection job, one query per detector family.
 
     Each query stores new alerts once per (transaction, type) and hands the batch's
-    alert messages to ``publish``. Start them with the trigger of your choice.
+    alert messages to ``publish``. Start them with the trigger of your choice. As they
+    commit files at the same time, each has a folder ``detector=<name>`` of its own below
+    ``alert_path``; all of them are read as one table with the column ``detector``.
     """
 
-    def store(detections: DataFrame) -> None:
+    def store(detections: DataFrame, name: str) -> None:
         alerts = cut_lineage(D.to_alerts(detections.select(*_columns(detections))))
-        write_alerts(alerts, alert_path)
+        write_alerts(alerts, f"{alert_path.rstrip('/')}/detector={name}")
         if publish is not None:
             publish(alert_messages(alerts))
 
     def words(batch: DataFrame, batch_id: int) -> None:
-        store(D.blacklisted(batch, options))
+        store(D.blacklisted(batch, options), "words")
 
     def travel(batch: DataFrame, batch_id: int) -> None:
-        store(batch)
+        store(batch, "travel")
 
     watch = RingWatch(edge_path, options)
 
     def rings(batch: DataFrame, batch_id: int) -> None:
         found = watch.alerts(batch, batch_id)
         if found is not None:
-            store(found)
+            store(found, "rings")
 
     def writer(df: DataFrame, handle, name: str) -> DataStreamWriter:
         return df.writeStream.foreachBatch(handle).option(
