@@ -199,7 +199,8 @@ class DriftWatch:
         """Report after this batch, or None while the window is not full."""
         spark = batch.sparkSession
         rows = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
-        newest = [F.desc(self._time), F.desc("_batch")]
+        # Equal times are common; all columns together leave no tie but equal rows.
+        newest = [F.desc(self._time), F.desc("_batch"), F.desc(F.struct(*sorted(batch.columns)))]
         if batch_id > 0 and path_exists(spark, f"{self._path}/window={batch_id - 1}"):
             rows = spark.read.parquet(f"{self._path}/window={batch_id - 1}").unionByName(rows)
         kept = rows.orderBy(*newest).limit(self._size)
