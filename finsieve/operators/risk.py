@@ -95,6 +95,85 @@ def funds_factor() -> Column:
     return score
 
 
+def reasons(as_of: Column) -> dict[str, Column]:
+    """The explanation of every factor, from the profile and the factor's score."""
+    says = {name: F.lit(text) for name, text in vocab.RISK_REASONS.items()}
+
+    def listed(table: Mapping[str, int], value: Column) -> Column:
+        return _score(table, value).isNotNull()
+
+    def one_decimal(value: Column) -> Column:
+        return F.format_string("%.1f", F.round(value, 1))
+
+    def filled(name: str, value: Column) -> Column:
+        return F.replace(says[name], F.lit("%s"), value)
+
+    def by_score(column: str, texts: Mapping[float, Column], other: Column) -> Column:
+        out = other
+        for score, text in texts.items():
+            out = F.when(F.col(column) == score, text).otherwise(out)
+        return out
+
+    nation, home = _text("nationality"), _text("country_of_residence")
+    nationality = F.when(
+        listed(vocab.HIGH_RISK_COUNTRIES, nation), F.concat(says["country_high"], nation)
+    ).when(listed(vocab.MEDIUM_RISK_COUNTRIES, nation), F.concat(says["country_medium"], nation))
+    residence = F.when(
+        listed(vocab.HIGH_RISK_COUNTRIES, home), F.concat(says["country_home"], home)
+    )
+    country = F.nullif(F.concat_ws("; ", nationality, residence), F.lit(""))
+
+    def likeness(kind: str, table: Mapping[str, int], value: Column, score: str) -> Column:
+        standard = (F.col(score) == 2.0) & ~listed(table, value)
+        return (
+            F.when(listed(table, value), F.concat(says[f"{kind}_listed"], value))
+            .when(standard, says[f"{kind}_other"])
+            .otherwise(F.concat(says[f"{kind}_like"], value))
+        )
+
+    job, trade = _text("occupation"), _text("business_type")
+    business = likeness("business", vocab.HIGH_RISK_BUSINESS_TYPES, trade, "business_type_score")
+    income = F.coalesce("declared_monthly_income", F.lit(0.0))
+    volume = F.coalesce("monthly_transaction_volume", F.lit(0.0))
+    ratio = one_decimal(volume / F.nullif(income, F.lit(0.0)))
+    opened = strip(F.col("account_open_date"))
+    months = F.datediff(as_of, opened.try_cast("date")) / 30
+    whole = F.rint(months).cast("long").cast("string")
+    funds, source = "source_of_funds_score", _text("source_of_funds")
+    return {
+        "country": F.coalesce(country, says["country_low"]),
+        "occupation": likeness("occupation", vocab.HIGH_RISK_OCCUPATIONS, job, "occupation_score"),
+        "business_type": F.when(
+            F.col("customer_type") == vocab.INDIVIDUAL, says["business_none"]
+        ).otherwise(business),
+        "transaction_volume": F.when(income <= 0, says["volume_no_income"]).otherwise(
+            by_score(
+                "transaction_volume_score",
+                {points: filled(f"volume_{points}", ratio) for points in (8, 6, 4)},
+                says["volume_1"],
+            )
+        ),
+        "account_age": (
+            F.when(F.length(F.coalesce(opened, F.lit(""))) == 0, says["age_unknown"])
+            .when(months.isNull(), says["age_bad"])
+            .otherwise(
+                by_score(
+                    "account_age_score",
+                    {points: filled(f"age_{points}", whole) for points in (7, 4, 2)},
+                    filled("age_1", one_decimal(months / 12)),
+                )
+            )
+        ),
+        "pep_status": by_score(
+            "pep_status_score", {9.0: says["pep_9"], 7.0: says["pep_7"]}, says["pep_0"]
+        ),
+        "source_of_funds": by_score(
+            funds, {float(p): F.concat(says[f"funds_{p}"], source) for p in (6, 3, 1)},
+            says["funds_4"],
+        ),
+    }
+
+
 def category(score: Column, high: float = 60.0, medium: float = 30.0) -> Column:
     return (
         F.when(score >= 90, vocab.RISK_PROHIBITED).when(score >= high, vocab.RISK_HIGH)
@@ -125,6 +204,7 @@ def assess(
         )
     )
     scored = profiles.withColumns({f"{name}_score": s for name, s in scores.items()})
+    why = reasons(as_of)
     total = F.lit(0.0)
     for name in FACTORS:
         total += F.col(f"{name}_score") * F.lit(share[name])
@@ -138,6 +218,7 @@ def assess(
                 F.col(f"{name}_score").alias("score"),
                 F.lit(share[name]).alias("weight"),
                 (F.col(f"{name}_score") * F.lit(share[name])).alias("weighted_score"),
+                why[name].alias("reason"),
             )
             for name in FACTORS
         ]

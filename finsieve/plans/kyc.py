@@ -133,6 +133,59 @@ def _as_of():
     return F.lit(_DAY).cast("date")
 
 
+_WHY = vocab.RISK_REASONS
+
+
+def _says(name: str, value: str | None = None) -> str:
+    text = _WHY[name]
+    if value is None:
+        return f"'{text}'"
+    return f"replace('{text}', '%s', {value})" if "%s" in text else f"'{text}' || {value}"
+
+
+def _one_of(column: str, table: dict[str, int]) -> str:
+    return f"{column} IN (" + ", ".join(f"'{k}'" for k in table) + ")"
+
+
+_RATIO = "printf('%.1f', round(volume / income, 1))"
+_MONTHS = "CAST(CAST(round_even(days / 30, 0) AS BIGINT) AS VARCHAR)"
+_REASONS = f"""
+               concat_ws(' | ',
+                 CASE WHEN f_country = 0 THEN {_says("country_low")} ELSE concat_ws('; ',
+                   CASE WHEN {_one_of("nationality", vocab.HIGH_RISK_COUNTRIES)}
+                          THEN {_says("country_high", "nationality")}
+                        WHEN {_one_of("nationality", vocab.MEDIUM_RISK_COUNTRIES)}
+                          THEN {_says("country_medium", "nationality")} END,
+                   CASE WHEN {_one_of("home", vocab.HIGH_RISK_COUNTRIES)}
+                          THEN {_says("country_home", "home")} END) END,
+                 CASE WHEN {_one_of("occupation", vocab.HIGH_RISK_OCCUPATIONS)}
+                        THEN {_says("occupation_listed", "occupation")}
+                      WHEN f_occupation = 2 THEN {_says("occupation_other")}
+                      ELSE {_says("occupation_like", "occupation")} END,
+                 CASE WHEN customer_type = 'BIREYSEL' THEN {_says("business_none")}
+                      WHEN {_one_of("trade", vocab.HIGH_RISK_BUSINESS_TYPES)}
+                        THEN {_says("business_listed", "trade")}
+                      WHEN f_business = 2 THEN {_says("business_other")}
+                      ELSE {_says("business_like", "trade")} END,
+                 CASE WHEN income <= 0 THEN {_says("volume_no_income")}
+                      WHEN f_volume = 8 THEN {_says("volume_8", _RATIO)}
+                      WHEN f_volume = 6 THEN {_says("volume_6", _RATIO)}
+                      WHEN f_volume = 4 THEN {_says("volume_4", _RATIO)}
+                      ELSE {_says("volume_1")} END,
+                 CASE WHEN n % 13 = 0 THEN {_says("age_bad")}
+                      WHEN days IS NULL THEN {_says("age_unknown")}
+                      WHEN f_age = 7 THEN {_says("age_7", _MONTHS)}
+                      WHEN f_age = 4 THEN {_says("age_4", _MONTHS)}
+                      WHEN f_age = 2 THEN {_says("age_2", _MONTHS)}
+                      ELSE {_says("age_1", "printf('%.1f', round(days / 30 / 12, 1))")} END,
+                 CASE WHEN pep THEN {_says("pep_9")} WHEN relative THEN {_says("pep_7")}
+                      ELSE {_says("pep_0")} END,
+                 CASE WHEN f_funds = 6 THEN {_says("funds_6", "funds")}
+                      WHEN f_funds = 3 THEN {_says("funds_3", "funds")}
+                      WHEN f_funds = 1 THEN {_says("funds_1", "funds")}
+                      ELSE {_says("funds_4")} END) AS reasons"""
+
+
 @query(
     "G1 G2 G3 G4 G5 G6 G7 G8 G9 G10 G11",
     T.with_ctes(
@@ -150,9 +203,10 @@ def _as_of():
                  AS actions,
                strftime(DATE '2024-01-01' + CAST(30 * CASE risk WHEN 'DUSUK' THEN 24
                  WHEN 'ORTA' THEN 12 WHEN 'YUKSEK' THEN 6 ELSE 0 END AS INTEGER), '%Y-%m-%d')
-                 AS next_review
-        FROM assessed
-        """,
+                 AS next_review,
+        """
+        + _REASONS
+        + " FROM assessed",
     ),
 )
 def customer_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +220,7 @@ def customer_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("overall_score", 4).alias("overall_score"), "risk_category",
         F.size("recommendations").alias("advice"), F.size("required_actions").alias("actions"),
         F.col("next_review_date").cast("string").alias("next_review"),
+        F.concat_ws(" | ", F.transform("risk_factors", lambda f: f["reason"])).alias("reasons"),
     )
 
 
