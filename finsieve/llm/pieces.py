@@ -182,27 +182,35 @@ class PieceCodec:
         return raw.decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, model: str, kind: str = "bpe", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, model: str, kind: str = "bpe", id_column: str = "doc_id", text_column: str = "text",
+    also_decoded: bool = False,
+) -> DataFrame:
     """doc_id, text and ids (bytes, little-endian unsigned 32-bit) of every row, in one pass.
 
+    ``also_decoded`` adds what the ids decode to, made by the same Python worker.
+
     A null or empty text has no ids. No white space is dropped or changed, except that the
     character U+2581 is encoded like a space.
     """
+    names = ["doc_id", "text", "ids", *["decoded"] * also_decoded]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec.at(model, kind)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in text_parts(texts):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(part.start, part.stop - part.start), pa.array(texts[part], pa.string()),
-                        pa.array(codec.encode(texts[part]), pa.binary()),
-                    ],
-                    names=["doc_id", "text", "ids"],
-                )
+                ids = codec.encode(texts[part])
+                columns = [
+                    batch.column(0).slice(part.start, part.stop - part.start),
+                    pa.array(texts[part], pa.string()), pa.array(ids, pa.binary()),
+                ]
+                if also_decoded:
+                    columns.append(pa.array([codec.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids binary")
+    return rows.mapInArrow(run, "doc_id long, text string, ids binary" + ", decoded string" * also_decoded)
 
 
 def decode(coded: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
@@ -228,7 +236,7 @@ def model_path() -> str:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of pieces and their checksum, and whether decoding gives the text back."""
     path = model_path()
-    coded = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    coded = encode(table(spark, sf_dir, "documents"), path, also_decoded=True)
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
         (F.col("decoded") == F.translate("text", SPACE, " ")).alias("round_trip"),
