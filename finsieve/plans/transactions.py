@@ -11,6 +11,8 @@ from finsieve.operators import canonical as C
 from finsieve.operators import history as H
 from finsieve.plans import tables as T
 from finsieve.plans.registry import query
+from finsieve.session import work_folder
+from finsieve.sources.files import read_labelled_csv
 
 
 def _sql_codes(column: str, values: tuple[str, ...]) -> str:
@@ -330,7 +332,7 @@ def behaviour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RAW = """
 raw AS (
-  SELECT o_orderkey AS source_row, o_orderdate AS ts, o_custkey AS sender,
+  SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS source_row, o_orderdate AS ts, o_custkey AS sender,
          o_orderkey % 97 AS receiver, o_totalprice AS amount,
          (['UK pounds', 'Euro', 'Yen', 'Peso'])[CAST(o_orderkey % 4 AS INTEGER) + 1] AS cur,
          (['UK', 'Turkey', 'Spain', 'Mars'])[CAST(o_custkey % 4 AS INTEGER) + 1] AS land,
@@ -358,7 +360,7 @@ raw AS (
     ),
 )
 def labelled_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders as raw labelled rows turned into the canonical record."""
+    """All orders as a raw labelled CSV, read, numbered and turned into the canonical record."""
     n, c = F.col("o_orderkey"), F.col("o_custkey")
     day = F.col("o_orderdate").cast("timestamp")
     raw = T.table(spark, sf_dir, "orders").select(
@@ -374,7 +376,9 @@ def labelled_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
         T._cycle(("ACH", "Cash Deposit", "Wire"), n % 3).alias("Payment_type"),
         F.lit(0).cast("tinyint").alias("Is_laundering"), F.lit("Normal").alias("Laundering_type"),
     )
-    rows = C.from_raw(raw)
+    path = work_folder(spark, "raw-csv")
+    raw.orderBy("source_row").drop("source_row").write.csv(path, header=True)
+    rows = C.from_raw(C.with_source_row(read_labelled_csv(spark, path)))
     return rows.select(
         "transaction_id", T.short_time(F.col("timestamp")).alias("unix_time"), "sender_account",
         "amount", "payment_currency", "sender_country", "payment_type",
