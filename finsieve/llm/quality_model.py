@@ -261,6 +261,6 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return with_score(docs, model, "score").select(
-        "doc_id", held.alias("held_out"), "score",
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
     )
