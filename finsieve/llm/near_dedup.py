@@ -1,8 +1,9 @@
 """Near-duplicates by ProbMinHash signatures of weighted shingles, banding and verification.
 
 A text's shingles are its runs of five words, weighted by how often they occur. The
-signature estimates the probability Jaccard similarity of two weighted sets; equal bands
-of signatures give candidates; candidates are verified on all their shingles.
+signature estimates the probability Jaccard similarity of two weighted sets; a second one,
+with all weights 1, the plain Jaccard similarity. Equal bands of either give candidates;
+candidates are verified on all their shingles.
 """
 
 from __future__ import annotations
@@ -106,27 +107,48 @@ def signatures(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int)
     return (winner >> np.uint64(32)).astype("<u4").reshape(texts, REGISTERS)
 
 
+def _set_signatures(owner: np.ndarray, h: np.ndarray, counts: np.ndarray, texts: int) -> list[bytes | None]:
+    """Signatures with all counts 1, of texts that repeat a shingle; None where that changes nothing."""
+    out: list[bytes | None] = [None] * texts
+    repeats = np.unique(owner[counts > 1])
+    if len(repeats):
+        on = np.isin(owner, repeats)
+        number = np.searchsorted(repeats, owner[on])
+        raw = signatures(number, h[on], np.ones(len(number)), len(repeats))
+        for text, row in zip(repeats.tolist(), raw):
+            out[text] = row.tobytes()
+    return out
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch.column(2).to_pylist()]
-        digests, signed = [], []
+        digests, signed, flat = [], [], []
         for part in text_parts(texts):
             words = [split_words(t) for t in texts[part]]
             digests += [hashlib.blake2b(b" ".join(b), digest_size=16).digest() for b in words]
-            raw = signatures(*shingles_of(words), len(words))
+            owner, h, counts = shingles_of(words)
+            raw = signatures(owner, h, counts, len(words))
             signed += [row.tobytes() if b else None for row, b in zip(raw, words)]
+            flat += _set_signatures(owner, h, counts, len(words))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(signed, pa.binary())],
-            names=["row_key", "doc_id", "words_digest", "signature"],
+            [
+                batch.column(0), batch.column(1), pa.array(digests, pa.binary()),
+                pa.array(signed, pa.binary()), pa.array(flat, pa.binary()),
+            ],
+            names=["row_key", "doc_id", "words_digest", "signature", "set_signature"],
         )
 
 
 def sketch(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """row_key, doc_id, words_digest (of the word sequence) and signature (null without words)."""
+    """row_key, doc_id, words_digest (of the word sequence), signature (null without words), set_signature.
+
+    set_signature is null where it equals signature: in texts that repeat no shingle.
+    """
     return docs.select(
         F.col(key).alias("row_key"), F.col(id_column).cast("long").alias("doc_id"),
         F.col(text_column).cast("string").alias("text"),
-    ).mapInArrow(_sketches, "row_key long, doc_id long, words_digest binary, signature binary")
+    ).mapInArrow(_sketches, "row_key long, doc_id long, words_digest binary, signature binary, set_signature binary")
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,16 +212,24 @@ def _agreement(x: Column, y: Column) -> Column:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar: first by signature, then exactly by shingles.
+    """The pairs (a, b) that are similar: first by either signature, then exactly by shingles.
 
     The joins are on one end each; a node in very many pairs is split by AQE.
     """
     def ends(side: str, of: DataFrame, *columns: str) -> DataFrame:
         return of.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
+    signed = ("signature", "set_signature")
+    as_sets = [F.coalesce(f"set_signature_{side}", f"signature_{side}") for side in "ab"]
     likely = (
-        pairs.join(ends("b", nodes, "signature"), "b").join(ends("a", nodes, "signature"), "a")
-        .where(_agreement(F.col("signature_a"), F.col("signature_b")) >= LEAST_ESTIMATE)
+        pairs.join(ends("b", nodes, *signed), "b").join(ends("a", nodes, *signed), "a")
+        .where(
+            (_agreement(F.col("signature_a"), F.col("signature_b")) >= LEAST_ESTIMATE)
+            | (
+                F.coalesce("set_signature_a", "set_signature_b").isNotNull()
+                & (_agreement(*as_sets) >= LEAST_ESTIMATE)
+            )
+        )
         .select("a", "b")
     )
     likely = store(likely, "likely-pairs")
@@ -236,12 +266,22 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): one row per node and band."""
+    """(key, node): one row per node and distinct band of its two signatures.
+
+    Both kinds share their keys: a text that repeats no shingle has one signature for both,
+    and has to meet the counts of some texts and the sets of others.
+    """
     width = 4 * ROWS
-    keys = [
-        F.xxhash64(F.lit(b), F.substring("signature", width * b + 1, width)) for b in range(BANDS)
-    ]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node")
+
+    def bands(column: str) -> Column:
+        return F.array(
+            *[F.xxhash64(F.lit(b), F.substring(column, width * b + 1, width)) for b in range(BANDS)]
+        )
+
+    keys = F.when(F.col("set_signature").isNull(), bands("signature")).otherwise(
+        F.array_union(bands("signature"), bands("set_signature"))
+    )
+    return nodes.select(F.explode(keys).alias("key"), "node")
 
 
 def near_duplicates(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -264,11 +304,14 @@ def near_duplicates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     nodes = store(
         rows.groupBy("words_digest")
-        .agg(F.min(first).alias("first"), F.first("signature").alias("signature"))
-        .select("words_digest", F.col("first.row_key").alias("node"), "signature"),
+        .agg(
+            F.min(first).alias("first"), F.first("signature").alias("signature"),
+            F.first("set_signature").alias("set_signature"),
+        )
+        .select("words_digest", F.col("first.row_key").alias("node"), "signature", "set_signature"),
         "nodes",
     )
-    signed = nodes.where("signature IS NOT NULL").select("node", "signature")
+    signed = nodes.where("signature IS NOT NULL").select("node", "signature", "set_signature")
     keys = band_keys(signed)
     leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = store(keys.join(leads, "key").select("key", "node", "lead"), "buckets")
@@ -331,7 +374,7 @@ def near_duplicates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     node_labels = nodes.join(labels, "node", "left").select(
         "words_digest", F.coalesce("label", "node").alias("label")
     )
-    placed = store(rows.drop("signature").join(node_labels, "words_digest").drop("words_digest"), "placed")
+    placed = store(rows.drop("signature", "set_signature").join(node_labels, "words_digest").drop("words_digest"), "placed")
     classes = store(
         placed.groupBy("label").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("class_size"))
         .select(

@@ -106,6 +106,22 @@ def test_links_between_copies_that_differ_from_the_smallest(spark):
     assert out == {1: 1, 3: 1, 2: 1 if linked else 2}
 
 
+def test_copies_that_repeat_a_line_differently_often(spark):
+    # The same set of shingles, so plain Jaccard 1, but far apart by counts.
+    rows = []
+    for g in range(12):
+        head, line, tail = (prose(900 + 3 * g + k, n, 50_000) for k, n in enumerate((40, 10, 40)))
+        rows += [(100 * g + k, " ".join([head, *[line] * k, tail])) for k in (2, 40)]
+    sets = [counted(t) for _, t in rows]
+    for a, b in zip(sets[::2], sets[1::2]):
+        weighted, plain = similarity(*a, *b)
+        assert weighted < 0.5 and plain == 1
+    docs, key = keyed(documents(spark, rows))
+    out = near_duplicates(docs, key).collect()
+    assert {r.class_size for r in out} == {2}
+    assert all(r.class_id == r.doc_id // 100 * 100 + 2 for r in out)
+
+
 def test_stage_and_empty_table(spark):
     docs = documents(spark, near_corpus())
     kept = keep_one_of_each(docs)
