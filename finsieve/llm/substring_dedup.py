@@ -11,7 +11,10 @@ are first cut down to what repeats and then routed:
 * The consecutive windows of one anchor are one piece of text. Equal pieces become one
   row with the earliest place by a partial aggregate, however many there are.
 * Only anchors with several different pieces need an automaton. They are dealt to shards
-  of bounded size; an anchor with too many pieces is split by windows.
+  of bounded size.
+* An anchor with more pieces than a shard holds goes to no automaton: its windows are rows,
+  a partial aggregate finds the earliest place of each, and a piece keeps the windows that
+  it wins. No task meets all its pieces.
 """
 
 from __future__ import annotations
@@ -230,20 +233,46 @@ def _beaten(window: int):
             automaton.add(words, key)
         automaton.finish()
         found = []
-        for (words, key), own in zip(pieces, group["own"]):
-            own = None if own is None else set(own)
-            late = [
+        for words, key in pieces:
+            found.append([
                 at - window + 1
                 for at, (matched, earliest) in enumerate(automaton.matches(words, window))
                 if matched == window and earliest < key + at
-            ]
-            found.append([o for o in late if own is None or o in own])
+            ])
         out = pd.DataFrame({"digest": group["digest"], "beaten": found})
         return out[[bool(f) for f in found]]
 
     return run
 
 
+def _beaten_in_crowds(pieces: DataFrame, window: int) -> DataFrame:
+    """What ``_beaten`` gives, for pieces of anchors that have too many for one task.
+
+    Equal windows have equal anchors, so the earliest place among these pieces is the
+    earliest of all; every window that a piece does not win is beaten.
+    """
+    offsets = F.sequence(F.lit(0), F.col("size") - window)
+    split = F.split(F.col("words").cast("string"), " ")
+    windows = (
+        pieces.select("digest", "first", split.alias("split"), F.explode(offsets).alias("offset"))
+        .select(
+            F.unhex(F.md5(F.array_join(F.slice("split", F.col("offset") + 1, F.lit(window)), " "))).alias("code"),
+            F.struct(
+                "first.rank", "first.row_key", (F.col("first.start") + F.col("offset")).alias("at"), "digest", "offset"
+            ).alias("place"),
+        )
+    )
+    wins = (
+        windows.groupBy("code").agg(F.min("place").alias("place"))
+        .groupBy("place.digest").agg(F.collect_list("place.offset").alias("wins"))
+    )
+    beaten = F.array_except(offsets, F.coalesce("wins", F.array().cast("array<int>")))
+    return (
+        pieces.select("digest", "size").join(wins, "digest", "left")
+        .select("digest", beaten.alias("beaten")).where("size(beaten) > 0")
+    )
+
+
 def bucketed(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` stored in buckets of ``key``: later joins on it shuffle only the other side."""
     spark = rows.sparkSession
@@ -288,23 +317,11 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         "different-pieces",
     )
     several = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    parts = F.ceil(F.col("variants") / PIECES_PER_SHARD).cast("int")
-    offsets = F.sequence(F.lit(0), F.col("size") - window)
-    split = F.split(F.col("words").cast("string"), " ")
-    part_of = F.transform(
-        offsets, lambda o: F.pmod(F.xxhash64(F.slice(split, o + 1, F.lit(window))), F.col("parts")).cast("int")
-    )
-    routed = different.join(several, "anchor").withColumn("parts", parts)
-    whole = routed.where("parts = 1").select("*", F.lit(0).alias("part"), F.lit(None).cast("array<int>").alias("own"))
-    cut = (
-        routed.where("parts > 1").withColumn("part_of", part_of)
-        .select("*", F.explode(F.array_distinct("part_of")).alias("part"))
-        .withColumn("own", F.filter(F.sequence(F.lit(0), F.col("size") - window), lambda o: F.get("part_of", o) == F.col("part")))
-        .drop("part_of")
-    )
+    routed = different.join(several, "anchor")
+    crowded = F.col("variants") > PIECES_PER_SHARD
     reference = store(
-        whole.unionByName(cut).select(
-            F.xxhash64("anchor", "part").alias("shard"), "digest", "words", "own", "first.rank", "first.row_key", "first.start"
+        routed.where(~crowded).select(
+            F.xxhash64("anchor").alias("shard"), "digest", "words", "first.rank", "first.row_key", "first.start"
         ),
         "reference",
     )
@@ -312,7 +329,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     beaten = (
         reference.withColumn("shard", F.pmod("shard", F.lit(shards))).groupBy("shard")
         .applyInPandas(_beaten(window), "digest binary, beaten array<int>")
-        .groupBy("digest").agg(F.flatten(F.collect_list("beaten")).alias("beaten"))
+        .unionByName(_beaten_in_crowds(routed.where(crowded), window))
     )
     decided = store(
         different.select("digest", "first", "n").join(beaten, "digest", "left").where("n > 1 OR beaten IS NOT NULL"),

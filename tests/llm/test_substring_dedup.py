@@ -65,6 +65,24 @@ def test_split_anchors_give_the_same(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_a_passage_in_many_rows_meets_in_no_task(spark, monkeypatch):
+    # Different neighbours make every row's piece at the passage's edges another one.
+    most, passage, make = 8, prose(1, 40, 5000), substring_dedup._beaten
+
+    def limited(window):
+        run = make(window)
+
+        def checked(group):
+            assert len(group) <= 2 * most, f"{len(group)} pieces in one task"
+            return run(group)
+
+        return checked
+
+    monkeypatch.setattr(substring_dedup, "PIECES_PER_SHARD", most)
+    monkeypatch.setattr(substring_dedup, "_beaten", limited)
+    check(spark, [(i, f"{prose(100 + i, 30, 50_000)} {passage} {prose(500 + i, 30, 50_000)}") for i in range(40)])
+
+
 def test_automaton_has_matching_statistics():
     rng = random.Random(3)
     texts = [[bytes([97 + rng.randrange(3)]) for _ in range(40)] for _ in range(4)]
