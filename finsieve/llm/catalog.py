@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from finsieve.llm import (
     exact_dedup,
+    language_id,
     language_model,
+    lexical_search,
     license_scan,
     near_dedup,
     packing,
     pieces,
     quality_model,
     quality_rules,
+    resampling,
     substring_dedup,
     token_counts,
 )
@@ -27,6 +30,9 @@ _RUNS = (
     packing.op8_best_fit_packing,
     substring_dedup.op9_substring_dedup,
     near_dedup.op10_minhash_near_dedup,
+    resampling.op11_importance_resampling,
+    language_id.op12_language_id,
+    lexical_search.op13_lexical_search,
 )
 
 ORACLES = {
@@ -34,6 +40,8 @@ ORACLES = {
     "op5_license_scan": license_scan.OP5_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }
 
 
