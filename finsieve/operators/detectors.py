@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from finsieve import vocab
 from finsieve.functions import scalars as S
 from finsieve.operators import graph as G
+from finsieve.operators import rings as R
 from finsieve.operators.ordering import (
     HOT_ROWS,
     NOT_CHUNKED,
@@ -157,97 +158,20 @@ def blacklisted(rows: DataFrame, options: DetectionOptions = DetectionOptions())
 
 
 # --- rings --------------------------------------------------------------------------------
-def _power_of_two(level: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), level)
-
-
-def _blocks(low: Column, high: Column, levels: int) -> Column:
-    """Aligned power-of-two time blocks that together cover [low, high) exactly."""
-
-    def at(level: Column) -> Column:
-        size = _power_of_two(level)
-        lo = F.floor((low + size - 1) / size).cast("long")
-        hi = F.floor(high / size).cast("long")
-        left = F.when((lo < hi) & (lo % 2 == 1), F.struct(level.alias("level"), lo.alias("block")))
-        right = F.when(
-            (lo < hi) & (hi % 2 == 1), F.struct(level.alias("level"), (hi - 1).alias("block"))
-        )
-        return F.array(left, right)
-
-    every = F.transform(F.sequence(F.lit(0), F.lit(levels)), at)
-    return F.array_compact(F.flatten(every))
-
-
-def _containing_blocks(moment: Column, levels: int) -> Column:
-    def at(level: Column) -> Column:
-        block = F.floor(moment / _power_of_two(level)).cast("long")
-        return F.struct(level.alias("level"), block.alias("block"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(levels)), at)
-
-
-def ring_alerts(
-    rows: DataFrame, options: DetectionOptions = DetectionOptions(), **graph_options
-) -> DataFrame:
-    """Transactions whose sender lies on a ring at that moment, with the largest ring.
-
-    A ring counts from its last transfer until its first one leaves the window. Each
-    such span is covered by aligned time blocks; the largest ring of an account and
-    block is found by a partial aggregate, and a transaction looks into the blocks
-    that hold its own time. No account meets all its rings in one place.
-    """
-    edges = G.graph_edges(rows)
+def ring_alerts(rows: DataFrame, options: DetectionOptions = DetectionOptions()) -> DataFrame:
+    """Transactions whose sender lies on a ring at that moment, with the largest ring."""
     window_us = options.ring_window_hours * S.HOUR_US
-    rings = G.find_rings(
-        edges, options.ring_min_hops, options.ring_max_hops, options.ring_window_hours,
-        **graph_options,
-    )
-    at = F.posexplode(F.transform("steps", lambda s: s["src"])).alias("pos", "account")
-    members = rings.select("*", at).select(
-        "account", "first_us", "last_us", "last_id", "hops", "total_amount",
-        G._rotated(F.col("steps"), F.col("pos") + 1).alias("steps"),
-    )
-    ring = F.struct(
-        F.col("total_amount").alias("total"),
-        F.transform("steps", lambda s: s["id"]).alias("ids"),
-        F.transform("steps", lambda s: s["src"]).alias("path"),
-        F.col("hops").alias("hops"),
-    )
-    members = members.select(
-        "account", "last_us", "last_id", (F.col("first_us") + window_us).alias("end_us"),
-        ring.alias("ring"),
-    )
-    # The window is below 2^40 microseconds (12 days); longer ones need more levels.
-    levels = max(40, window_us.bit_length())
-    spans = (
-        members.select(
-            "account", "ring",
-            F.inline(_blocks(F.col("last_us") + 1, F.col("end_us"), levels)),
-        )
-        .groupBy("account", "level", "block")
-        .agg(F.max("ring").alias("ring"))
-    )
-    # Transfers at the very microsecond of the closing one count from its id on.
-    ties = members.groupBy("account", "last_us", "last_id").agg(F.max("ring").alias("ring"))
-    t = F.unix_micros("timestamp")
-    senders = members.select(F.col("account").alias("sender_iban")).distinct()
-    asked = rows.withColumn("_t", t).join(senders, "sender_iban", "left_semi")
-    keys = asked.select("sender_iban", "transaction_id", "_t").distinct()
-    by_span = keys.select(
-        "*", F.inline(_containing_blocks(F.col("_t"), levels))
-    ).join(
-        spans.withColumnRenamed("account", "sender_iban"), ["sender_iban", "level", "block"]
-    ).select("sender_iban", "transaction_id", "_t", "ring")
-    by_tie = keys.join(
-        ties.withColumnsRenamed({"account": "sender_iban", "last_us": "_t"}),
-        ["sender_iban", "_t"],
-    ).where(F.col("transaction_id") >= F.col("last_id")).select(
-        "sender_iban", "transaction_id", "_t", "ring"
+    graph = R.Numbered(R.cycle_core(G._core(G.graph_edges(rows))), None)
+    rings = R.closed_walks(
+        graph, options.ring_min_hops, options.ring_max_hops, window_us, False, None
     )
-    best = (
-        by_span.unionByName(by_tie)
-        .groupBy("sender_iban", "transaction_id", "_t")
-        .agg(F.max("ring").alias("ring"))
+    asked = rows.withColumn("_t", F.unix_micros("timestamp"))
+    moments = asked.select(
+        F.col("sender_iban").alias("account"), "transaction_id", F.col("_t").alias("t")
+    ).distinct()
+    best = R.largest_at(graph, rings, moments, window_us).select(
+        F.col("account").alias("sender_iban"), "transaction_id", F.col("t").alias("_t"),
+        F.struct("total", "ids", "path").alias("ring"),
     )
     hits = asked.join(best, ["sender_iban", "transaction_id", "_t"])
     path = F.concat(F.col("ring.path"), F.slice(F.col("ring.path"), 1, 1))
@@ -255,7 +179,7 @@ def ring_alerts(
         S.stable_id("RING", F.concat_ws(">", path)).alias("ring_id"),
         path.alias("ring_path"),
         F.col("ring.total").cast("double").alias("total_amount"),
-        F.col("ring.hops").alias("transaction_count"),
+        F.size("ring.ids").alias("transaction_count"),
     )
     text = F.concat(
         F.lit("Circular transaction ring detected: "),

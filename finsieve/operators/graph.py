@@ -1,14 +1,9 @@
-"""Money-flow graph: ingest, rings, neighbourhoods, summaries.
+"""Money-flow graph: ingest, rings through an account, neighbourhoods, summaries.
 
 Edges are rows ``src, dst, transaction_id, timestamp, amount`` (plus optional
 ``fraud_type``); parallel edges and self loops are allowed. A ring is a closed walk
-whose transactions are all different; accounts may repeat.
-
-Rings are found from their busiest account: accounts above ``hub_degree`` edges are
-ordered by degree, and a walk never passes an account busier than the one it started
-from. A hub is therefore only ever a starting point or lies between even busier hubs,
-so its incoming and outgoing edges are never multiplied with each other, and each
-ring is met once instead of once per member.
+whose transactions are all different; accounts may repeat. Rings of the whole graph
+are in :mod:`finsieve.operators.rings`.
 """
 
 from __future__ import annotations
@@ -85,27 +80,6 @@ def _core(edges: DataFrame) -> DataFrame:
     )
 
 
-def _trim(edges: DataFrame, rounds: int) -> DataFrame:
-    """Drop edges into accounts that send nothing and out of accounts that got nothing."""
-    for _ in range(rounds):
-        senders = edges.select(F.col("src").alias("dst")).distinct()
-        receivers = edges.select(F.col("dst").alias("src")).distinct()
-        edges = edges.join(senders, "dst", "left_semi").join(receivers, "src", "left_semi")
-    return edges.select("src", "dst", "id", "t", "amount")
-
-
-def _ranked(edges: DataFrame) -> DataFrame:
-    """Add the rank of both ends, (degree, account): a walk never passes an account busier
-    than its start, so the two sides of a busy account are not multiplied."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
-    degrees = ends.groupBy("node").count()
-    for end in ("src", "dst"):
-        own = degrees.select(F.col("node").alias(end), F.col("count").alias(f"_{end}_degree"))
-        rank = F.struct(F.col(f"_{end}_degree").alias("d"), F.col(end).alias("n"))
-        edges = edges.join(own, end).withColumn(f"{end}_rank", rank)
-    return edges.select("src", "dst", "id", "t", "amount", "src_rank", "dst_rank")
-
-
 def _step(prefix: str = "") -> Column:
     names = ("src", "id", "t", "amount")
     return F.struct(*[F.col(prefix + n).alias(n) for n in names])
@@ -119,39 +93,22 @@ def _next_edges(edges: DataFrame) -> DataFrame:
     return edges.select(*[F.col(c).alias(f"n_{c}") for c in edges.columns])
 
 
-def _fits(window_us: int | None) -> Column:
-    """The next edge is a new transaction and keeps the walk inside the window."""
+def _extend(paths: DataFrame, nexts: DataFrame) -> DataFrame:
+    """One more transfer, which the walk has not used yet."""
     fresh = ~F.array_contains(_ids(F.col("steps")), F.col("n_id"))
-    if window_us is None:
-        return fresh
-    span = F.greatest("t_max", "n_t") - F.least("t_min", "n_t")
-    return fresh & (span < window_us)
-
-
-def _extend(paths: DataFrame, nexts: DataFrame, window_us: int | None, ok: Column) -> DataFrame:
-    """One more edge. Inside a window the join also runs on time slices, which
-    spreads a busy account over many tasks."""
-    if window_us is None:
-        joined = paths.join(nexts, F.col("last") == F.col("n_src"))
-    else:
-        slice_of = F.floor(F.col("t_min") / window_us)
-        near = F.explode(F.array(slice_of - 1, slice_of, slice_of + 1)).alias("slice")
-        joined = paths.select("*", near).join(
-            nexts.withColumn("n_slice", F.floor(F.col("n_t") / window_us)),
-            (F.col("last") == F.col("n_src")) & (F.col("slice") == F.col("n_slice")),
-        )
-    return joined.where(_fits(window_us) & ok).select(
-        "root", "root_rank", F.col("n_dst").alias("last"),
+    return paths.join(nexts, F.col("last") == F.col("n_src")).where(fresh).select(
+        "root", F.col("n_dst").alias("last"),
         F.concat("steps", F.array(_step("n_"))).alias("steps"),
         F.least("t_min", "n_t").alias("t_min"), F.greatest("t_max", "n_t").alias("t_max"),
     )
 
 
-def _close(paths: DataFrame, nexts: DataFrame, window_us: int | None) -> DataFrame:
-    """The edge back to the start; both ends are known, so nothing fans out."""
+def _close(paths: DataFrame, nexts: DataFrame) -> DataFrame:
+    """The transfer back to the start; both ends are known, so nothing fans out."""
     back = (F.col("last") == F.col("n_src")) & (F.col("root") == F.col("n_dst"))
-    return paths.join(nexts, back).where(_fits(window_us)).select(
-        "root", F.concat("steps", F.array(_step("n_"))).alias("steps"),
+    fresh = ~F.array_contains(_ids(F.col("steps")), F.col("n_id"))
+    return paths.join(nexts, back).where(fresh).select(
+        F.concat("steps", F.array(_step("n_"))).alias("steps"),
         F.least("t_min", "n_t").alias("t_min"), F.greatest("t_max", "n_t").alias("t_max"),
     )
 
@@ -181,87 +138,6 @@ def _describe(rings: DataFrame) -> DataFrame:
     )
 
 
-def find_rings(
-    edges: DataFrame,
-    min_hops: int = 3,
-    max_hops: int = 5,
-    window_hours: float | None = None,
-    simple: bool = False,
-    trim_rounds: int = 2,
-) -> DataFrame:
-    """Every ring once, started at its smallest transaction id.
-
-    ``window_hours`` keeps rings whose first and last transfer are less than that
-    apart. ``simple`` forbids repeated accounts.
-    """
-    if not 2 <= min_hops <= max_hops:
-        raise ValueError("2 <= min_hops <= max_hops is required")
-    window_us = None if window_hours is None else int(window_hours * S.HOUR_US)
-    core = _trim(_core(edges), trim_rounds)
-    # Every hop reads the edges again and every open walk is both closed and extended.
-    ranked = cut_lineage(_ranked(core))
-    nexts = _next_edges(ranked)
-    allowed = F.col("n_dst_rank") <= F.col("root_rank")
-    if simple:
-        visited = F.transform("steps", lambda s: s["src"])
-        fresh = ~F.array_contains(visited, F.col("n_dst")) & (F.col("n_dst") != F.col("last"))
-        allowed &= (F.col("n_dst_rank") < F.col("root_rank")) & fresh
-    start_ok = F.col("dst_rank") < F.col("src_rank") if simple else (
-        F.col("dst_rank") <= F.col("src_rank")
-    )
-    open_paths = ranked.where(start_ok).select(
-        F.col("src").alias("root"), F.col("src_rank").alias("root_rank"),
-        F.col("dst").alias("last"), F.array(_step()).alias("steps"),
-        F.col("t").alias("t_min"), F.col("t").alias("t_max"),
-    )
-    found = []
-    for hops in range(2, max_hops + 1):
-        if hops >= min_hops:
-            found.append(_close(open_paths, nexts, window_us))
-        if hops < max_hops:
-            open_paths = cut_lineage(_extend(open_paths, nexts, window_us, allowed))
-    rings = reduce(DataFrame.unionByName, found)
-    # A walk through its busiest account twice has two starts there: keep one.
-    starts = F.filter("steps", lambda s: s["src"] == F.col("root"))
-    rings = rings.where(F.array_min(_ids(starts)) == F.col("steps")[0]["id"])
-    ids = _ids(F.col("steps"))
-    first = F.array_position(ids, F.array_min(ids)).cast("int")
-    return _describe(rings.withColumn("steps", _rotated(F.col("steps"), first)))
-
-
-def all_rings(
-    edges: DataFrame,
-    min_hops: int = 3,
-    max_hops: int = 5,
-    min_amount: float = 1000.0,
-    limit: int = 50,
-    dedupe: bool = True,
-    **options,
-) -> DataFrame:
-    """The ``limit`` largest rings of the whole graph with at least ``min_amount``.
-
-    Without ``dedupe`` every ring appears once per starting account. The limit only cuts
-    the result: every transfer may take part in a ring.
-    """
-    rings = find_rings(edges, min_hops, max_hops, **options).where(
-        F.col("total_amount") >= F.lit(min_amount).cast(MONEY)
-    )
-    # Equal totals go by the transactions as a set, then by their order on the ring.
-    order = [F.desc("total_amount"), F.array_sort("transaction_ids"), "transaction_ids"]
-    if dedupe:
-        return rings.orderBy(*order).limit(limit).drop("steps")
-    spun = rings.select(
-        "total_amount", F.col("first_us").alias("t_min"), F.col("last_us").alias("t_max"),
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("steps")),
-                lambda i: _rotated(F.col("steps"), i),
-            )
-        ).alias("steps"),
-    )
-    return _describe(spun).orderBy(*order).limit(limit).drop("steps")
-
-
 def rings_through(
     edges: DataFrame,
     account: str,
@@ -299,36 +175,20 @@ def rings_through(
         within[-1].select(F.col("node").alias("src")), "src", "left_semi"
     ).where(F.col("dst") == account)
     paths = first.select(
-        F.col("src").alias("root"), F.lit(0).alias("root_rank"), F.col("dst").alias("last"),
+        F.col("src").alias("root"), F.col("dst").alias("last"),
         F.array(_step()).alias("steps"), F.col("t").alias("t_min"), F.col("t").alias("t_max"),
     )
     found = []
     for hops in range(2, max_hops + 1):
         if hops >= min_hops:
-            found.append(_close(paths, _next_edges(goal), None))
+            found.append(_close(paths, _next_edges(goal)))
         if hops < max_hops:
             steps_on = _next_edges(towards(max_hops - hops))
-            paths = cut_lineage(_extend(paths, steps_on, None, F.lit(True)))
+            paths = cut_lineage(_extend(paths, steps_on))
     rings = _describe(reduce(DataFrame.unionByName, found)).drop("steps")
     return rings.orderBy(F.desc("total_amount"), "transaction_ids").limit(limit)
 
 
-def longest_rings(
-    edges: DataFrame, as_of: Column, min_hops: int = 3, max_hops: int = 6, days: int = 7,
-    limit: int = 100, **options,
-) -> DataFrame:
-    """Rings of the last days, longest first."""
-    now = F.unix_micros(as_of)
-    t = F.unix_micros("timestamp")
-    recent = edges.where((t > now - days * S.DAY_US) & (t <= now))
-    rings = find_rings(recent, min_hops, max_hops, **options)
-    order = [
-        F.desc("hops"), F.desc("total_amount"), F.array_sort("transaction_ids"),
-        "transaction_ids",
-    ]
-    return rings.orderBy(*order).limit(limit).drop("steps")
-
-
 def ring_severity(total: Column) -> Column:
     return F.when(total > 100_000, F.lit("critical")).otherwise(F.lit("high"))
 
@@ -341,12 +201,12 @@ def value_chains(
     core = cut_lineage(_core(edges.where(F.col("amount") > above)))
     nexts = _next_edges(core)
     paths = core.select(
-        F.col("src").alias("root"), F.lit(0).alias("root_rank"), F.col("dst").alias("last"),
+        F.col("src").alias("root"), F.col("dst").alias("last"),
         F.array(_step()).alias("steps"), F.col("t").alias("t_min"), F.col("t").alias("t_max"),
     )
     found = [paths] if min_edges <= 1 else []
     for n in range(2, max_edges + 1):
-        paths = cut_lineage(_extend(paths, nexts, None, F.lit(True)))
+        paths = cut_lineage(_extend(paths, nexts))
         if n >= min_edges:
             found.append(paths)
     chains = reduce(DataFrame.unionByName, found)

@@ -217,40 +217,55 @@ def keyword_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_RING_WALKS = """
-walks AS (
-  SELECT src AS root, dst AS last, [id] AS ids, CAST(amount AS DECIMAL(38,4)) AS total,
-         1 AS hops, ts AS t_min, ts AS t_max, (ts, id) AS k_max
-  FROM edges
+_HALF_WALKS = """
+e AS (SELECT id, src, dst, CAST(amount AS DECIMAL(38,4)) AS total, ts FROM edges
+      WHERE src IN (SELECT dst FROM edges) AND dst IN (SELECT src FROM edges)),
+w2 AS (
+  SELECT a.src AS root, b.dst AS last, a.id AS i1, b.id AS i2, a.total + b.total AS total,
+         least(a.ts, b.ts) AS t_min, greatest(a.ts, b.ts) AS t_max,
+         greatest((a.ts, a.id), (b.ts, b.id)) AS k_max
+  FROM e a JOIN e b ON b.src = a.dst AND b.id <> a.id
+   AND greatest(a.ts, b.ts) - least(a.ts, b.ts) < INTERVAL 168 HOUR),
+w3 AS (
+  SELECT a.root, b.dst AS last, a.i1, a.i2, b.id AS i3, a.total + b.total AS total,
+         least(a.t_min, b.ts) AS t_min, greatest(a.t_max, b.ts) AS t_max,
+         greatest(a.k_max, (b.ts, b.id)) AS k_max
+  FROM w2 a JOIN e b ON b.src = a.last AND b.id <> a.i1 AND b.id <> a.i2
+   AND greatest(a.t_max, b.ts) - least(a.t_min, b.ts) < INTERVAL 168 HOUR),
+rings AS (
+  SELECT root, total, t_min, k_max FROM w3 WHERE last = root
   UNION ALL
-  SELECT w.root, e.dst, list_append(w.ids, e.id),
-         CAST(w.total + CAST(e.amount AS DECIMAL(38,4)) AS DECIMAL(38,4)), w.hops + 1,
-         least(w.t_min, e.ts), greatest(w.t_max, e.ts), greatest(w.k_max, (e.ts, e.id))
-  FROM walks w JOIN edges e ON e.src = w.last AND NOT list_contains(w.ids, e.id)
-  WHERE w.hops < 5 AND greatest(w.t_max, e.ts) - least(w.t_min, e.ts) < INTERVAL 24 HOUR
-),
-rings AS (SELECT * FROM walks WHERE last = root AND hops BETWEEN 3 AND 5)"""
+  SELECT a.root, a.total + b.total, least(a.t_min, b.t_min), greatest(a.k_max, b.k_max)
+  FROM w2 a JOIN w2 b ON b.root = a.last AND b.last = a.root
+   AND a.i1 <> b.i1 AND a.i1 <> b.i2 AND a.i2 <> b.i1 AND a.i2 <> b.i2
+   AND greatest(a.t_max, b.t_max) - least(a.t_min, b.t_min) < INTERVAL 168 HOUR
+  UNION ALL
+  SELECT a.root, a.total + b.total, least(a.t_min, b.t_min), greatest(a.k_max, b.k_max)
+  FROM w3 a JOIN w2 b ON b.root = a.last AND b.last = a.root
+   AND a.i1 <> b.i1 AND a.i1 <> b.i2 AND a.i2 <> b.i1 AND a.i2 <> b.i2 AND a.i3 <> b.i1 AND a.i3 <> b.i2
+   AND greatest(a.t_max, b.t_max) - least(a.t_min, b.t_min) < INTERVAL 168 HOUR),
+spans AS (SELECT root, t_min, k_max, max(total) AS total FROM rings GROUP BY ALL)"""
 
 
 @query(
     "F1",
     T.with_ctes(
-        T.MONEY_EDGES.format(at_least=0) + "," + _RING_WALKS,
+        T.MONEY_EDGES.format(at_least=0) + "," + _HALF_WALKS,
         """
         SELECT t.id AS transaction_id, t.src AS sender_iban,
                round(CAST(max(r.total) AS DOUBLE), 2) AS total_amount
-        FROM edges t JOIN rings r ON r.root = t.src AND (t.ts, t.id) >= r.k_max
-         AND t.ts < r.t_min + INTERVAL 24 HOUR
+        FROM edges t JOIN spans r ON r.root = t.src AND (t.ts, t.id) >= r.k_max
+         AND t.ts < r.t_min + INTERVAL 168 HOUR
         GROUP BY t.id, t.src
         """,
-    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    ),
 )
 def ring_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfers whose sender is on a ring of the last day, with the largest ring."""
     valid = T.received(spark, sf_dir).where("amount > 0")
     rows = mark_first(valid, "transaction_id", ("timestamp", "seq"))
     rows = rows.where("is_first")
-    found = D.ring_alerts(rows, DetectionOptions(ring_window_hours=24))
+    found = D.ring_alerts(rows)
     total = F.get_json_object("details", "$.total_amount").cast("double")
     return found.select(
         "transaction_id", "sender_iban", F.round(total, 2).alias("total_amount")

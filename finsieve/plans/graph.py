@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsieve.operators import graph as G
+from finsieve.operators import rings as R
 from finsieve.plans import tables as T
 from finsieve.plans.registry import query
 
-_HOURS = 24
 _AS_OF = "2024-01-20 00:00:00"
 _EDGES = T.MONEY_EDGES.format(at_least=0)
 
@@ -26,23 +26,47 @@ def _joined(column: str) -> F.Column:
     return F.concat_ws(",", column)
 
 
-def _walks(max_hops: int, root: str = "", edges: str = "edges", hours: int | None = None) -> str:
-    """CTE ``walks``: open walks over distinct transactions, within ``hours`` if given."""
-    near = f"AND greatest(w.t_max, e.ts) - least(w.t_min, e.ts) < INTERVAL {hours} HOUR" if hours else ""
+def _walks(max_hops: int, root: str = "", edges: str = "edges", name: str = "walks", ok: str = "") -> str:
+    """CTE ``walks``: open walks over distinct transactions; ``ok`` also holds for each step."""
     return f"""
-    walks AS (
+    {name} AS (
       SELECT src AS root, dst AS last, [id] AS ids, [src, dst] AS path,
-             CAST(amount AS DECIMAL(38,4)) AS total, 1 AS hops, ts AS t_min, ts AS t_max
+             CAST(amount AS DECIMAL(38,4)) AS total, 1 AS hops
       FROM {edges} {f"WHERE src = '{root}'" if root else ""}
       UNION ALL
       SELECT w.root, e.dst, list_append(w.ids, e.id), list_append(w.path, e.dst),
-             CAST(w.total + CAST(e.amount AS DECIMAL(38,4)) AS DECIMAL(38,4)), w.hops + 1,
-             least(w.t_min, e.ts), greatest(w.t_max, e.ts)
-      FROM walks w JOIN {edges} e ON e.src = w.last AND NOT list_contains(w.ids, e.id)
-      WHERE w.hops < {max_hops} {near}
+             CAST(w.total + CAST(e.amount AS DECIMAL(38,4)) AS DECIMAL(38,4)), w.hops + 1
+      FROM {name} w JOIN {edges} e ON e.src = w.last AND NOT list_contains(w.ids, e.id)
+      WHERE w.hops < {max_hops} {ok}
     )"""
 
 
+def _largest_walks(edges: str, min_hops: int, max_hops: int, limit: int, least: str, heavy: float = 0.92) -> str:
+    """CTEs of walks that may become one of the ``limit`` largest rings of up to ``max_hops``.
+
+    The rings of the heaviest transfers give a total that the answers reach at least; a
+    walk goes on while the most that its end can still carry (``more``) may bring it there.
+    """
+    carried = ["m0 AS (SELECT DISTINCT src AS node, 0.0::DOUBLE AS most FROM core)"]
+    for i in range(1, max_hops):
+        carried.append(
+            f"m{i} AS (SELECT c.src AS node, max(c.amount + m.most) AS most FROM core c"
+            f" JOIN m{i - 1} m ON m.node = c.dst GROUP BY c.src)"
+        )
+    every = " UNION ALL ".join(f"SELECT node, {i} AS j, most FROM m{i}" for i in range(max_hops))
+    return f"""
+    core AS (SELECT * FROM {edges} WHERE src IN (SELECT dst FROM {edges}) AND dst IN (SELECT src FROM {edges})),
+    heavy AS (SELECT * FROM core WHERE amount >= (SELECT quantile_disc(amount, {heavy}) FROM core)),
+    {_walks(max_hops, edges="heavy", name="heavy_walks")},
+    least AS (SELECT coalesce((
+        SELECT total FROM heavy_walks WHERE last = root AND hops BETWEEN {min_hops} AND {max_hops}
+          AND ids[1] = list_min(ids) ORDER BY total DESC LIMIT 1 OFFSET {limit - 1}), {least}) AS total),
+    {", ".join(carried)},
+    more AS (SELECT node, max(most) OVER (PARTITION BY node ORDER BY j) AS most, j FROM ({every})),
+    {_walks(max_hops, edges="core", ok=f"""AND CAST(w.total AS DOUBLE) + e.amount + (
+        SELECT most FROM more WHERE node = e.dst AND j = {max_hops} - 1 - w.hops) >= (SELECT total FROM least) - 0.001""")}"""
+
+
 def _ring_columns(rings: DataFrame) -> DataFrame:
     return rings.select(
         _joined("path").alias("path"), _joined("transaction_ids").alias("transaction_ids"),
@@ -83,19 +107,18 @@ def rings_through_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     "E2 E4 C8",
     _recursive(
         T.with_ctes(
-            _EDGES + "," + _walks(5, hours=_HOURS),
+            _EDGES + "," + _largest_walks("edges", 3, 5, 50, "1000"),
             f"""SELECT {_RING_SELECT},
                        CASE WHEN total > 100000 THEN 'critical' ELSE 'high' END AS severity
-                FROM walks WHERE last = root AND hops BETWEEN 3 AND 5 AND total >= 400
+                FROM walks WHERE last = root AND hops BETWEEN 3 AND 5 AND total >= 1000
                   AND ids[1] = list_min(ids)
-                ORDER BY total DESC, list_sort(ids), ids LIMIT 50""",
+                ORDER BY walks.total DESC, list_sort(ids), ids LIMIT 50""",
         )
     ),
 )
 def largest_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest rings within a day in the whole graph, each once."""
-    found = G.all_rings(_money(spark, sf_dir), min_amount=400, window_hours=_HOURS)
-    rings = _ring_columns(found)
+    """The largest rings of the whole graph, at any time, each once."""
+    rings = _ring_columns(R.all_rings(_money(spark, sf_dir)))
     return rings.withColumn("severity", G.ring_severity(F.col("total_amount")))
 
 
@@ -103,19 +126,16 @@ def largest_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     "E3",
     _recursive(
         T.with_ctes(
-            _EDGES + "," + _walks(5, hours=_HOURS),
+            _EDGES + "," + _largest_walks("edges", 3, 5, 67, "1000"),
             f"""SELECT {_RING_SELECT} FROM walks
-                WHERE last = root AND hops BETWEEN 3 AND 5 AND total >= 600
-                ORDER BY total DESC, list_sort(ids), ids LIMIT 200""",
+                WHERE last = root AND hops BETWEEN 3 AND 5 AND total >= 1000
+                ORDER BY walks.total DESC, list_sort(ids), ids LIMIT 200""",
         )
     ),
 )
 def rings_every_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings within a day, once per starting account."""
-    edges = _money(spark, sf_dir)
-    return _ring_columns(
-        G.all_rings(edges, 3, 5, 600, limit=200, dedupe=False, window_hours=_HOURS)
-    )
+    """The largest rings at any time, once per starting account."""
+    return _ring_columns(R.all_rings(_money(spark, sf_dir), limit=200, dedupe=False))
 
 
 @query(
@@ -124,18 +144,20 @@ def rings_every_start(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.with_ctes(
             _EDGES
             + f""",
-            recent AS (SELECT * FROM edges WHERE ts > TIMESTAMP '{_AS_OF}' - INTERVAL 1 DAY
+            recent AS (SELECT * FROM edges WHERE ts > TIMESTAMP '{_AS_OF}' - INTERVAL 7 DAY
                                              AND ts <= TIMESTAMP '{_AS_OF}'),"""
-            + _walks(6, edges="recent"),
+            # With a hundred rings of six transfers no shorter one is among the longest;
+            # with fewer all walks go on.
+            + _largest_walks("recent", 6, 6, 100, "0", heavy=0.7),
             f"""SELECT {_RING_SELECT} FROM walks
                 WHERE last = root AND hops BETWEEN 3 AND 6 AND ids[1] = list_min(ids)
-                ORDER BY hops DESC, total DESC, list_sort(ids), ids LIMIT 100""",
+                ORDER BY hops DESC, walks.total DESC, list_sort(ids), ids LIMIT 100""",
         )
     ),
 )
 def longest_recent_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings of up to six hops in the last day, longest first."""
-    return _ring_columns(G.longest_rings(_money(spark, sf_dir), _as_of(), days=1))
+    """Rings of up to six hops in the last week, longest first."""
+    return _ring_columns(R.longest_rings(_money(spark, sf_dir), _as_of()))
 
 
 @query(

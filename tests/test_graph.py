@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from finsieve.operators import detectors as D
 from finsieve.operators import graph as G
 from finsieve.operators import network as N
+from finsieve.operators import rings as R
 from finsieve.options import DetectionOptions
 
 SCHEMA = "src string, dst string, transaction_id string, timestamp timestamp, amount double"
@@ -58,7 +59,7 @@ def ids(walk):
 @pytest.mark.parametrize("hours", [None, 168])
 def test_every_ring_once(spark, hours):
     rows = graph(1, 12, 36, hub=True)
-    rings = G.find_rings(
+    rings = R.find_rings(
         spark.createDataFrame(rows, SCHEMA), 3, 5, window_hours=hours
     ).collect()
     wanted = {ids(w) for w in closed_walks(rows, 3, 5, hours) if ids(w)[0] == min(ids(w))}
@@ -68,7 +69,7 @@ def test_every_ring_once(spark, hours):
 
 def test_simple_rings(spark):
     rows = graph(2, 8, 26)
-    rings = G.find_rings(spark.createDataFrame(rows, SCHEMA), 2, 4, simple=True).collect()
+    rings = R.find_rings(spark.createDataFrame(rows, SCHEMA), 2, 4, simple=True).collect()
     wanted = {
         ids(w) for w in closed_walks(rows, 2, 4)
         if ids(w)[0] == min(ids(w)) and len({e[0] for e in w}) == len(w)
@@ -78,13 +79,76 @@ def test_simple_rings(spark):
 
 def test_largest_rings_with_parallel_edges(spark):
     rows = graph(3, 4, 24)
-    top = G.all_rings(spark.createDataFrame(rows, SCHEMA), 3, 4, 1000, limit=5).collect()
+    top = R.all_rings(spark.createDataFrame(rows, SCHEMA), 3, 4, 1000, limit=5).collect()
     walks = [w for w in closed_walks(rows, 3, 4) if ids(w)[0] == min(ids(w))]
     walks = [w for w in walks if sum(e[4] for e in w) >= 1000]
     walks.sort(key=lambda w: (-sum(e[4] for e in w), sorted(ids(w)), ids(w)))
     assert [tuple(r["transaction_ids"]) for r in top] == [ids(w) for w in walks[:5]]
 
 
+@pytest.mark.parametrize("simple", [False, True])
+def test_largest_rings_lose_nothing(spark, monkeypatch, simple):
+    """The bound from the heaviest transfers drops no ring that belongs to the answer."""
+    monkeypatch.setattr(R, "FIRST_HEAVY", 4)
+    monkeypatch.setattr(R, "HEAVY_GROWTH", 2)
+    rows = graph(6, 11, 60, hub=True)
+    rows += [(a, b, f"{i}x", t, amount) for a, b, i, t, amount in rows[:6]]  # equal totals
+    walks = [w for w in closed_walks(rows, 3, 5) if ids(w)[0] == min(ids(w)) and sum(e[4] for e in w) >= 1000]
+    if simple:
+        walks = [w for w in walks if len({e[0] for e in w}) == len(w)]
+    walks.sort(key=lambda w: (-sum(e[4] for e in w), sorted(ids(w)), ids(w)))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    top = R.all_rings(frame, limit=7, simple=simple).collect()
+    assert [tuple(r["transaction_ids"]) for r in top] == [ids(w) for w in walks[:7]]
+    spun = R.all_rings(frame, limit=7, simple=simple, dedupe=False).collect()
+    turned = [ids(w[i:] + w[:i]) for w in walks[:7] for i in range(len(w))]
+    turned.sort(key=lambda i: (-sum(r[4] for r in rows if r[2] in i), sorted(i), i))
+    assert [tuple(r["transaction_ids"]) for r in spun] == turned[:7]
+
+
+def test_longest_rings(spark):
+    rows = graph(8, 9, 26)
+    as_of = START + timedelta(hours=400)
+    recent = [r for r in rows if as_of - timedelta(days=14) < r[3] <= as_of]
+    walks = [w for w in closed_walks(recent, 3, 6) if ids(w)[0] == min(ids(w))]
+    walks.sort(key=lambda w: (-len(w), -sum(e[4] for e in w), sorted(ids(w)), ids(w)))
+    assert len({len(w) for w in walks[:200]}) > 1
+    found = R.longest_rings(spark.createDataFrame(rows, SCHEMA), F.lit(as_of), days=14, limit=200).collect()
+    assert [tuple(r["transaction_ids"]) for r in found] == [ids(w) for w in walks[:200]]
+
+
+def test_no_rings_at_all(spark):
+    rows = [("A", "B", "1", START, 5000.0), ("B", "C", "2", START, 5000.0)]
+    for data in (rows, []):
+        frame = spark.createDataFrame(data, SCHEMA)
+        assert R.all_rings(frame).collect() == []
+        assert R.longest_rings(frame, F.lit(START + timedelta(hours=1))).collect() == []
+
+
+def test_largest_ring_at_every_moment(spark, monkeypatch):
+    monkeypatch.setattr(R, "CELLS", 16)
+    rows = graph(5, 9, 70, hub=True)
+    hours = 100
+    window_us = hours * 3600 * 10**6
+    walks = closed_walks(rows, 3, 4, hours)
+    wanted = {}
+    for r in rows:
+        best = None
+        for w in walks:
+            last = max((e[3], e[2]) for e in w)
+            if w[0][0] == r[0] and last <= (r[3], r[2]) and r[3] < min(e[3] for e in w) + timedelta(hours=hours):
+                best = max(best or (0, ()), (sum(e[4] for e in w), ids(w)))
+        if best:
+            wanted[r[2]] = best
+    frame = spark.createDataFrame(rows, SCHEMA)
+    numbered = R.Numbered(R.cycle_core(G._core(frame)), None)
+    rings = R.closed_walks(numbered, 3, 4, window_us, False, None)
+    moments = frame.select(F.col("src").alias("account"), "transaction_id", F.unix_micros("timestamp").alias("t"))
+    found = R.largest_at(numbered, rings, moments, window_us).collect()
+    assert {r["transaction_id"]: (float(r["total"]), tuple(r["ids"])) for r in found} == wanted
+    assert len(wanted) > 10
+
+
 def test_rings_through_one_account(spark):
     rows = graph(4, 10, 34)
     as_of = START + timedelta(hours=480)
@@ -98,9 +162,9 @@ def test_rings_through_one_account(spark):
 
 def test_known_ring(spark):
     rows = [("A", "B", "1", START, 10_000.0), ("B", "C", "2", START, 10_000.0)]
-    assert G.find_rings(spark.createDataFrame(rows, SCHEMA)).count() == 0
+    assert R.find_rings(spark.createDataFrame(rows, SCHEMA)).count() == 0
     rows.append(("C", "A", "3", START, 10_000.0))
-    (ring,) = G.find_rings(spark.createDataFrame(rows, SCHEMA)).collect()
+    (ring,) = R.find_rings(spark.createDataFrame(rows, SCHEMA)).collect()
     assert ring["path"] == ["A", "B", "C", "A"] and float(ring["total_amount"]) == 30_000
 
 
