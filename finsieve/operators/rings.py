@@ -424,11 +424,14 @@ def _promising(rings: DataFrame, best: DataFrame, low: int, slice_us: int) -> Da
         F.min(F.coalesce(F.col("total").cast("double"), F.lit(-1.0))).alias("least")
     )
     # Slices without a moment of the account ask for nothing; their least is never reached.
-    held = least.groupBy("number").agg(
-        *[F.max(F.when(F.col("slice") == i, F.col("least"))).alias(f"_{i}") for i in range(SLICES)]
-    ).select(
+    each = F.map_from_entries(F.collect_list(F.struct("slice", "least")))
+    none = F.lit(float("inf"))
+    held = least.groupBy("number").agg(each.alias("least")).select(
         "number",
-        F.array(*[F.coalesce(f"_{i}", F.lit(float("inf"))) for i in range(SLICES)]).alias("least"),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(SLICES - 1)),
+            lambda i: F.coalesce(F.try_element_at("least", i), none),
+        ).alias("least"),
     )
     members = rings.select(
         F.explode(F.array_distinct("srcs")).alias("number"), "total", "t_max", "t_min", "last_e", "end"

@@ -347,7 +347,7 @@ nodes AS (SELECT node, count(*) FILTER (o) AS out_degree, count(*) FILTER (NOT o
           FROM (SELECT src AS node, true AS o FROM pairs UNION ALL SELECT dst, false FROM pairs)
           GROUP BY node)"""
 )
-_STEPS = 4
+_STEPS = 10
 
 
 def _rank_ctes() -> str:
@@ -376,25 +376,29 @@ def _rank_ctes() -> str:
                 JOIN sym z ON z.u = y.v AND z.v = x.u GROUP BY x.u),
         nb AS (SELECT u AS node, count(*) AS n FROM sym GROUP BY u),
         """
-        + _rank_ctes(),
+        + _rank_ctes()
+        + """,
+        reach AS (SELECT DISTINCT u AS node, u AS other FROM sym
+                  UNION SELECT r.node, s.v FROM reach r JOIN sym s ON s.u = r.other),
+        grouped AS (SELECT node, min(other) AS community FROM reach GROUP BY node)""",
         f"""
-        SELECT n.node, CAST(n.out_degree AS BIGINT) AS out_degree,
+        SELECT n.node, g.community, CAST(n.out_degree AS BIGINT) AS out_degree,
                CAST(n.in_degree AS BIGINT) AS in_degree, round(r.r, 9) AS pagerank,
                round(CASE WHEN nb.n > 1 THEN coalesce(tri.t, 0) / (nb.n * (nb.n - 1.0)) ELSE 0 END,
                      9) AS clustering_coefficient,
                round((n.out_degree + n.in_degree) / (2.0 * (count(*) OVER () - 1)), 9) AS hub_score
         FROM nodes n JOIN r{_STEPS} r ON r.node = n.node JOIN nb ON nb.node = n.node
-        LEFT JOIN tri ON tri.node = n.node
+        JOIN grouped g ON g.node = n.node LEFT JOIN tri ON tri.node = n.node
         """,
-    ),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def network_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees, PageRank, clustering and hub score of every account."""
+    """Degrees, PageRank, clustering, hub score and community of every account."""
     from finsieve.operators import network as N
 
     rows = N.network_features(T.money_edges(spark, sf_dir, 0.0), iterations=_STEPS)
     return rows.select(
-        "node", "out_degree", "in_degree",
+        "node", "community", "out_degree", "in_degree",
         *[F.round(c, 9).alias(c) for c in ("pagerank", "clustering_coefficient", "hub_score")],
     )
 
@@ -403,7 +407,7 @@ def network_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     "D16",
     _recursive(
         T.with_ctes(
-            T.MONEY_EDGES.format(at_least=250)
+            T.MONEY_EDGES.format(at_least=0)
             + """,
             sym AS (SELECT src AS u, dst AS v FROM edges WHERE src <> dst
                     UNION SELECT dst, src FROM edges WHERE src <> dst),
@@ -414,7 +418,7 @@ def network_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected groups of accounts over large transfers."""
+    """Connected groups of accounts over all transfers."""
     from finsieve.operators import network as N
 
-    return N.communities(N.connections(T.money_edges(spark, sf_dir, 250.0)))
+    return N.communities(N.connections(_money(spark, sf_dir)))

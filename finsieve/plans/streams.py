@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsieve.operators import detectors as D
+from finsieve.operators import training as M
 from finsieve.operators.canonical import accepted, canonicalize, from_received
 from finsieve.options import DetectionOptions
 from finsieve.plans import tables as T
-from finsieve.plans.alerts import _TRAVEL
+from finsieve.plans.alerts import _HALF_WALKS, _TRAVEL
+from finsieve.plans.models import _SCORED, stored_model
 from finsieve.plans.registry import query
 from finsieve.plans.transactions import _HISTORY_SQL, _history_columns
-from finsieve.session import work_folder
+from finsieve.session import cut_lineage, work_folder
 from finsieve.sources import streams
 from finsieve.streaming import jobs as J
 from finsieve.streaming.online import OnlineHistory
 from finsieve.streaming.travel import travel_stream
+from finsieve.streaming.unique import SeenIds
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def received_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def received_stream(spark: SparkSession, sf_dir: str, days: int = 8) -> DataFrame:
     """The events table as a stream of received transactions, in several micro-batches.
 
-    Spans of eight days are stored one after another and arrive in that order, so each
+    Spans of some days are stored one after another and arrive in that order, so each
     batch but the first meets what the ones before have left.
     """
     events = T.table(spark, sf_dir, "events")
     out = work_folder(spark, "arrivals")
-    span = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (8 * 86_400))
+    span = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (days * 86_400))
     spans = sorted(r[0] for r in events.select(span).distinct().collect())
     for start in spans:
         events.where(span == start).write.mode("append").parquet(out)
@@ -45,11 +51,26 @@ def _run(writer, checkpoint: str | None = None) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def _state_store(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    # State with processing-time timeouts asks for empty batches for ever; a run that
-    # ends with its input must not wait for them.
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB for the queries started inside; the session is left as it was."""
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": _ROCKS,
+        # State with processing-time timeouts asks for empty batches for ever; a run that
+        # ends with its input must not wait for them.
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 @query(
@@ -65,10 +86,10 @@ def _state_store(spark: SparkSession) -> None:
 )
 def stream_travel_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impossible travel with the last location of each sender as stream state."""
-    _state_store(spark)
     out = work_folder(spark, "travel")
-    found = travel_stream(received_stream(spark, sf_dir))
-    _run(found.writeStream.format("parquet").option("path", f"{out}/rows"), f"{out}/state")
+    with _state_store(spark):
+        found = travel_stream(received_stream(spark, sf_dir))
+        _run(found.writeStream.format("parquet").option("path", f"{out}/rows"), f"{out}/state")
     rows = spark.read.parquet(f"{out}/rows")
     place = F.from_json(
         "details", "from_city string, to_city string, last_transaction_id string"
@@ -78,17 +99,82 @@ def stream_travel_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of the events table by the wave in which they arrive: eight days each, in order, but
+#: every 37th event comes up to two waves (over two weeks) late and every 41st once more at the end.
+_WAVES = """
+spans AS (SELECT *, CAST(floor(epoch(ts) / 691200) AS BIGINT) AS span FROM events),
+ends AS (SELECT max(span) AS final FROM spans),
+arrivals AS (
+  SELECT event_id, ts, CASE WHEN event_id % 37 = 5 THEN least(span + 2, final) ELSE span END AS wave
+  FROM spans, ends
+  UNION ALL
+  SELECT event_id, ts, final FROM spans, ends WHERE event_id % 41 = 7),
+timed AS (SELECT wave, date_trunc('hour', ts) AS t,
+                 event_id - CASE WHEN event_id % 50 = 49 THEN 1 ELSE 0 END AS tid FROM arrivals)"""
+
+
+_WAVE_FILES = 8
+
+
+def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream in waves, one micro-batch each, with late and repeated rows."""
+    events = T.table(spark, sf_dir, "events")
+    span = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (8 * 86_400))
+    final = events.agg(F.max(span)).first()[0]
+    late = F.when(F.col("event_id") % 37 == 5, F.least(span + 2, F.lit(final))).otherwise(span)
+    again = events.where(F.col("event_id") % 41 == 7).withColumn("wave", F.lit(final))
+    arriving = cut_lineage(events.withColumn("wave", late).unionByName(again))
+    out = work_folder(spark, "waves")
+    waves = sorted(r[0] for r in arriving.select("wave").distinct().collect())
+    for wave in waves:
+        rows = arriving.where(F.col("wave") == wave).drop("wave")
+        rows.repartition(_WAVE_FILES).write.mode("append").parquet(out)
+    found = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", _WAVE_FILES)
+    return T.received_rows(found.parquet(out))
+
+
+def _taken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """First copies of :func:`late_stream` and the counts of its batches."""
+    out = work_folder(spark, "unique")
+    seen = SeenIds(spark, f"{out}/seen")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = seen.take(batch, batch_id)
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+
+    _run(late_stream(spark, sf_dir).writeStream.foreachBatch(handle), f"{out}/state")
+    return spark.read.parquet(f"{out}/rows"), seen.counts()
+
+
 @query(
     "C3",
     T.with_ctes(T.RECEIVED, "SELECT DISTINCT transaction_id FROM received"),
 )
 def stream_unique_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transaction ids of the stream, each once."""
-    _state_store(spark)
-    out = work_folder(spark, "unique")
-    ids = J.deduplicated(received_stream(spark, sf_dir)).select("transaction_id")
-    _run(ids.writeStream.format("parquet").option("path", f"{out}/rows"), f"{out}/state")
-    return spark.read.parquet(f"{out}/rows")
+    """Transaction ids of a stream with rows weeks late and repeated, each once."""
+    return _taken(spark, sf_dir)[0].select("transaction_id")
+
+
+@query(
+    "C3 I4",
+    T.with_ctes(
+        _WAVES
+        + """,
+        latest AS (SELECT wave, max(max(t)) OVER (
+          ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM timed GROUP BY wave),
+        firsts AS (SELECT tid, min(wave) AS wave FROM timed GROUP BY tid)""",
+        """
+        SELECT row_number() OVER (ORDER BY wave) - 1 AS batch_id, n AS rows, kept,
+               n - kept AS repeated, late
+        FROM (SELECT t.wave, count(*) AS n, count(*) FILTER (t.t < l.seen) AS late
+              FROM timed t JOIN latest l ON l.wave = t.wave GROUP BY t.wave)
+        JOIN (SELECT wave, count(*) AS kept FROM firsts GROUP BY wave) USING (wave)
+        """,
+    ),
+)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, first copies, repeated and late rows of every micro-batch."""
+    return _taken(spark, sf_dir)[1]
 
 
 @query(
@@ -112,7 +198,7 @@ def stream_history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "A4 A5 A6",
+    "A4",
     T.with_ctes(
         T.RECEIVED,
         """
@@ -138,6 +224,104 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows")
 
 
+@query(
+    "A5 A6",
+    T.with_ctes(
+        T.RECEIVED,
+        """
+        SELECT DISTINCT 'ALERT-' || upper(substr(sha256(transaction_id || chr(31)
+                 || 'blacklist_keyword'), 1, 12)) AS alert_id, transaction_id, 'medium' AS severity,
+               sender_iban, list_contains(['error'], description) AS named
+        FROM received WHERE description = 'error'
+        """,
+    ),
+)
+def stream_published_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword alerts published as messages and read back as alert rows from their stream."""
+    out = work_folder(spark, "published")
+    options = DetectionOptions(blacklist=("error",))
+    alerts = D.to_alerts(D.blacklisted(received_stream(spark, sf_dir), options))
+    _run(J.publish_alerts(alerts, "text", {"path": f"{out}/topic"}), f"{out}/state-out")
+    got = streams.read_alert_messages(spark, "text", {}, f"{out}/topic")
+    _run(got.writeStream.format("parquet").option("path", f"{out}/rows"), f"{out}/state-in")
+    found = F.from_json(
+        F.get_json_object(F.col("evidence")[0]["details"], "$.keywords_found"), "array<string>"
+    )
+    return spark.read.parquet(f"{out}/rows").select(
+        "alert_id", "transaction_id", "severity", "sender_iban",
+        F.array_contains(found, "error").alias("named"),
+    ).distinct()
+
+
+_RING_OF_THREE = _HALF_WALKS.split("rings AS (")[0].strip().rstrip(",")
+
+
+@query(
+    "I1 D12 F1 F3 F4 F5",
+    T.with_ctes(
+        _SCORED
+        + ","
+        + _TRAVEL.removeprefix(T.RECEIVED).lstrip(",\n")
+        + """,
+        edges AS (SELECT sender AS src, receiver AS dst, transaction_id AS id, ts, amount FROM rec),"""
+        + _RING_OF_THREE,
+        """
+        SELECT transaction_id, 'ml_model' AS fraud_type, round(score, 6) AS confidence
+        FROM scored WHERE score >= 0.6 AND is_first
+        UNION ALL
+        SELECT DISTINCT transaction_id, 'blacklist_keyword', 0.85 FROM received WHERE description = 'error'
+        UNION ALL
+        SELECT DISTINCT transaction_id, 'impossible_travel', 0.9 FROM moves WHERE km / hours > 900
+        UNION ALL
+        SELECT DISTINCT t.id, 'circular_ring', 0.95 FROM edges t JOIN w3 r ON r.last = r.root
+          AND r.root = t.src AND (t.ts, t.id) >= r.k_max AND t.ts < r.t_min + INTERVAL 168 HOUR
+        """,
+    ),
+)
+def stream_detection_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four detectors over the same micro-batches; rings of three transfers in a week."""
+    out = work_folder(spark, "job")
+    options = DetectionOptions(blacklist=("error",), ring_max_hops=3)
+    model = J.ModelWatch(
+        OnlineHistory(spark, f"{out}/history"),
+        lambda rows: M.explain_linear(rows, stored_model()), 0.6, "lr-1",
+    )
+    with _state_store(spark):
+        writers = J.detection_writers(
+            received_stream(spark, sf_dir, days=15), f"{out}/alerts", f"{out}/edges",
+            f"{out}/state", options, model=model,
+        )
+        running = [w.trigger(availableNow=True).start() for w in writers]
+        for job in running:
+            job.awaitTermination()
+    return spark.read.parquet(f"{out}/alerts").select(
+        "transaction_id", "fraud_type", F.round("confidence", 6).alias("confidence")
+    )
+
+
+@query(
+    "I6",
+    T.with_ctes(
+        T.CANONICAL,
+        "SELECT transaction_id, CAST(epoch(ts) AS BIGINT) AS unix_time, amount, false AS scored FROM rec",
+    ),
+)
+def stream_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's part of the job without a model: the history grows, nothing is scored."""
+    out = work_folder(spark, "blind")
+    watch = J.ModelWatch(OnlineHistory(spark, f"{out}/history"), None, 0.6, "none")
+    scored = []
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        scored.append(watch.alerts(batch, batch_id) is not None)
+
+    _run(received_stream(spark, sf_dir).writeStream.foreachBatch(handle), f"{out}/state")
+    return spark.read.parquet(f"{out}/history/events").select(
+        "transaction_id", T.short_time(F.col("timestamp")).alias("unix_time"), "amount",
+        F.lit(any(scored)).alias("scored"),
+    )
+
+
 @query(
     "A7 I1",
     T.with_ctes(
@@ -151,15 +335,15 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_keyword_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword alerts in the alert table, each once; the travel detector runs at the same time."""
-    _state_store(spark)
     out = work_folder(spark, "detect")
-    options = DetectionOptions(blacklist=("error",), ring_window_hours=24)
-    writers = J.detection_writers(
-        received_stream(spark, sf_dir), f"{out}/alerts", f"{out}/edges", f"{out}/state", options
-    )
-    running = [w.trigger(availableNow=True).start() for w in writers[:2]]
-    for job in running:
-        job.awaitTermination()
+    options = DetectionOptions(blacklist=("error",))
+    with _state_store(spark):
+        writers = J.detection_writers(
+            received_stream(spark, sf_dir), f"{out}/alerts", f"{out}/edges", f"{out}/state", options
+        )
+        running = [w.trigger(availableNow=True).start() for w in writers[:2]]
+        for job in running:
+            job.awaitTermination()
     stored = spark.read.parquet(f"{out}/alerts").where("fraud_type = 'blacklist_keyword'")
     return stored.select("alert_id", "transaction_id", "severity")
 
@@ -222,7 +406,6 @@ def high_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running tallies of keyword alerts in complete mode."""
-    _state_store(spark)
     out = work_folder(spark, "live")
     found = D.to_alerts(
         D.blacklisted(received_stream(spark, sf_dir), DetectionOptions(blacklist=("i",)))
@@ -232,7 +415,8 @@ def stream_live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/view")
 
     writer = J.live_view(found).writeStream.outputMode("complete").foreachBatch(handle)
-    _run(writer, f"{out}/state")
+    with _state_store(spark):
+        _run(writer, f"{out}/state")
     return spark.read.parquet(f"{out}/view").select("fraud_type", "severity", "alerts")
 
 

@@ -1,4 +1,4 @@
-"""Continuous jobs: detection, duplicates, rate rules, drift watch, counters."""
+"""Continuous jobs: detection by rules and model, duplicates, rate rules, drift watch, counters."""
 
 from __future__ import annotations
 
@@ -11,16 +11,22 @@ from pyspark.sql.streaming import DataStreamWriter
 from finsieve.operators import detectors as D
 from finsieve.operators import drift as drift_ops
 from finsieve.operators.alerts import alert_messages
+from finsieve.operators.canonical import accepted, canonicalize, from_received
+from finsieve.operators.ordering import mark_first
 from finsieve.options import DetectionOptions
 from finsieve.session import cut_lineage
 from finsieve.sources.alert_store import write_alerts
 from finsieve.sources.files import path_exists
+from finsieve.streaming.online import OnlineHistory
 from finsieve.streaming.travel import travel_stream
 
 
 # --- duplicates --------------------------------------------------------------------------------
 def deduplicated(rows: DataFrame, horizon: str = "7 days") -> DataFrame:
-    """First copy of each transaction id; ids are remembered for the horizon of event time."""
+    """First copy of each transaction id; ids are remembered for the horizon of event time.
+
+    For streams in order: rows older than the horizon are dropped. :class:`SeenIds` keeps them.
+    """
     return rows.withWatermark("timestamp", horizon).dropDuplicatesWithinWatermark(
         ["transaction_id"]
     )
@@ -54,7 +60,10 @@ class RingWatch:
     def alerts(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
         """Detections of the batch's transactions; its rows join the stored table."""
         spark = batch.sparkSession
-        batch = cut_lineage(batch)
+        # A message delivered again is one transfer, not two.
+        order = ["timestamp", *[c for c in ("seq",) if c in batch.columns]]
+        batch = mark_first(batch, "transaction_id", order).where("is_first").drop("is_first")
+        batch = cut_lineage(batch.dropDuplicates(["transaction_id"]))
         span = batch.agg(F.min("timestamp")).first()[0]
         if span is None:
             return None
@@ -66,10 +75,10 @@ class RingWatch:
             recent = stored.where(
                 (F.col("day") >= F.to_date(since)) & (F.col("timestamp") > since)
             )
-            # A message delivered again is one transfer, not two.
-            rows = recent.select(*batch.columns).join(
-                batch.select("transaction_id"), "transaction_id", "left_anti"
-            ).select(*batch.columns).unionByName(batch)
+            recent = recent.select(*batch.columns)
+            known = recent.select("transaction_id")
+            batch = cut_lineage(batch.join(known, "transaction_id", "left_anti"))
+            rows = recent.unionByName(batch.select(*recent.columns))
         senders = batch.select(F.col("sender_iban").alias("node"))
         named = rows.withColumnsRenamed({"sender_iban": "src", "receiver_iban": "dst"})
         near = edges_near(named, senders, self._options.ring_max_hops)
@@ -83,13 +92,44 @@ class RingWatch:
         return found
 
 
+# --- model -----------------------------------------------------------------------------------------
+class ModelWatch:
+    """Model alerts per micro-batch: history features against the stored past, then scores.
+
+    ``explain`` adds score (and base_value, top_features) to feature rows; without it the
+    history still grows and nothing is scored. Repeated ids leave no trace in the history
+    and raise nothing.
+    """
+
+    def __init__(
+        self, history: OnlineHistory, explain: Callable[[DataFrame], DataFrame] | None,
+        threshold: float, version: str,
+    ) -> None:
+        self._history, self._explain = history, explain
+        self._threshold, self._version = threshold, version
+
+    def alerts(
+        self, batch: DataFrame, batch_id: int, options: DetectionOptions = DetectionOptions()
+    ) -> DataFrame | None:
+        """Detections of a batch of received rows with ``seq``, None without a model."""
+        batch = cut_lineage(batch)
+        rows = accepted(canonicalize(from_received(batch), keep=("seq",)))
+        features = self._history.score_and_record(rows, batch_id)
+        if self._explain is None:
+            return None
+        first = self._history.recorded(batch_id).select("seq", F.lit(True).alias("is_first"))
+        scored = self._explain(features).join(first, "seq")
+        return D.model_alerts(batch, scored, self._threshold, self._version, options)
+
+
 # --- detection job --------------------------------------------------------------------------------
 def detection_writers(
     rows: DataFrame, alert_path: str, edge_path: str, checkpoint: str,
     options: DetectionOptions = DetectionOptions(),
-    publish: Callable[[DataFrame], None] | None = None,
+    publish: Callable[[DataFrame], None] | None = None, model: ModelWatch | None = None,
 ) -> list[DataStreamWriter]:
-    """Writers of the continuous detection job, one query per detector family.
+    """Writers of the continuous detection job, one query per detector family; the model's
+    only if there is a ``model`` watch.
 
     Each query stores new alerts once per (transaction, type) and hands the batch's
     alert messages to ``publish``. Start them with the trigger of your choice. As they
@@ -116,16 +156,22 @@ def detection_writers(
         if found is not None:
             store(found, "rings")
 
+    def scores(batch: DataFrame, batch_id: int) -> None:
+        found = model.alerts(batch, batch_id, options)
+        if found is not None:
+            store(found, "model")
+
     def writer(df: DataFrame, handle, name: str) -> DataStreamWriter:
         return df.writeStream.foreachBatch(handle).option(
             "checkpointLocation", f"{checkpoint.rstrip('/')}/{name}"
         )
 
-    return [
+    writers = [
         writer(rows, words, "words"),
         writer(travel_stream(rows, options), travel, "travel"),
         writer(rows, rings, "rings"),
     ]
+    return writers if model is None else [*writers, writer(rows, scores, "model")]
 
 
 def _columns(detections: DataFrame) -> list[str]:
@@ -133,8 +179,11 @@ def _columns(detections: DataFrame) -> list[str]:
 
 
 def publish_alerts(alerts: DataFrame, target: str, options: dict[str, str]) -> DataStreamWriter:
-    """Stream of alerts to keyed JSON messages on a topic or in files."""
-    return alert_messages(alerts).writeStream.format(target).options(**options)
+    """Stream of alerts to keyed JSON messages on a topic, or to text files of JSON lines."""
+    messages = alert_messages(alerts)
+    if target == "text":
+        messages = messages.select("value")
+    return messages.writeStream.format(target).options(**options)
 
 
 # --- rate rules --------------------------------------------------------------------------------

@@ -76,15 +76,13 @@ class OnlineHistory:
         self._write(last.select(*new.columns), self._last, batch_id)
         return features
 
+    def recorded(self, batch_id: int) -> DataFrame:
+        """The rows that a batch added to the history."""
+        return self._spark.read.parquet(f"{self._events}/batch_id={batch_id}")
+
     def _write(self, rows: DataFrame, folder: str, batch_id: int) -> None:
         """One folder per batch, replaced when the batch is repeated."""
         rows.withColumn("day", F.to_date("timestamp")).write.mode("overwrite").partitionBy(
             "day"
         ).parquet(f"{folder}/batch_id={batch_id}")
 
-
-def late_rows(batch: DataFrame, latest_seen_us: int | None) -> DataFrame:
-    """Rows older than everything seen so far; they are used and counted, never dropped."""
-    if latest_seen_us is None:
-        return batch.limit(0)
-    return batch.where(F.unix_micros("timestamp") < latest_seen_us)

@@ -13,12 +13,16 @@ from finsieve.operators import canonical as C
 from finsieve.operators import dataset as B
 from finsieve.operators import detectors as D
 from finsieve.operators.feature_store import FeatureGroup
+from finsieve.operators.canonical import accepted, canonicalize, from_received
 from finsieve.operators.history import build_features
+from finsieve.operators.training import explain_linear
 from finsieve.options import DetectionOptions
+from finsieve.plans.models import stored_model
 from finsieve.sources import files, streams
 from finsieve.streaming import jobs as J
 from finsieve.streaming.online import OnlineHistory
 from finsieve.streaming.travel import travel_stream
+from finsieve.streaming.unique import SeenIds
 
 START = datetime(2024, 1, 1)
 
@@ -138,6 +142,53 @@ def test_online_history_equals_batch(spark, tmp_path):
     assert vectors(spark.read.parquet(out)) == wanted
 
 
+def test_late_and_repeated_rows_of_a_stream(spark, tmp_path):
+    """No row is lost however late, none is taken twice, and a repeated batch changes nothing."""
+    day = timedelta(days=1)
+    batches = [
+        [("a", START), ("b", START + day), ("a", START + 2 * day)],
+        [("c", START + 40 * day), ("b", START + day)],
+        [("d", START - 20 * day), ("c", START + 41 * day), ("e", START + 50 * day)],
+        [("d", START - 20 * day), ("d", START + 30 * day), ("f", START + 49 * day)],
+        [],
+    ]
+    seen = SeenIds(spark, str(tmp_path / "seen"))
+    taken = []
+    for number, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "transaction_id string, timestamp timestamp")
+        for _ in range(2 if number == 2 else 1):
+            new = sorted(r["transaction_id"] for r in seen.take(frame, number).collect())
+        taken.append(new)
+    # Within a batch an id counts once; the copy of "d" 50 days away is no copy, but its batch has one.
+    assert taken == [["a", "b"], ["c"], ["d", "e"], ["f"], []]
+    counts = {r["batch_id"]: (r["rows"], r["kept"], r["repeated"], r["late"]) for r in seen.counts().collect()}
+    assert counts == {0: (3, 2, 1, 0), 1: (2, 1, 1, 1), 2: (3, 2, 1, 1), 3: (3, 1, 2, 3), 4: (0, 0, 0, 0)}
+
+
+def test_model_watch_scores_like_a_batch(spark, tmp_path):
+    rows = received(spark, 50).withColumn("seq", F.regexp_extract("transaction_id", "[0-9]+", 0).cast("long"))
+    model = stored_model()
+    canonical_rows = accepted(canonicalize(from_received(rows), keep=("seq",)))
+    wanted = {
+        r["transaction_id"]: round(r["score"], 9)
+        for r in explain_linear(build_features(canonical_rows), model).collect()
+    }
+    stream = in_parts(rows, tmp_path / "in", 3, ["timestamp", "transaction_id"])
+    found, silent = {}, []
+    watch = J.ModelWatch(
+        OnlineHistory(spark, str(tmp_path / "h")), lambda f: explain_linear(f, model), 0.0, "v")
+    blind = J.ModelWatch(OnlineHistory(spark, str(tmp_path / "b")), None, 0.0, "v")
+
+    def handle(batch, batch_id):
+        for r in watch.alerts(batch, batch_id).select("transaction_id", "confidence").collect():
+            found[r["transaction_id"]] = round(r["confidence"], 9)
+        silent.append(blind.alerts(batch, batch_id))
+
+    run(stream.writeStream.foreachBatch(handle), tmp_path / "c")
+    assert found == wanted and len(silent) == 3 and not any(silent)
+    assert spark.read.parquet(str(tmp_path / "b" / "events")).count() == 50
+
+
 def received(spark, n=60):
     cities = ("Istanbul", "Tokyo", "Paris", "Nowhere")
     rng = random.Random(13)
