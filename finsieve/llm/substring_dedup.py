@@ -317,13 +317,16 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         "different-pieces",
     )
     several = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    routed = different.join(several, "anchor")
-    crowded = F.col("variants") > PIECES_PER_SHARD
-    reference = store(
-        routed.where(~crowded).select(
-            F.xxhash64("anchor").alias("shard"), "digest", "words", "first.rank", "first.row_key", "first.start"
+    # Read by both branches below and by the count: the join with the words runs once.
+    routed = store(
+        different.join(several, "anchor").select(
+            F.xxhash64("anchor").alias("shard"), "variants", "digest", "size", "words", "first"
         ),
-        "reference",
+        "routed",
+    )
+    crowded = F.col("variants") > PIECES_PER_SHARD
+    reference = routed.where(~crowded).select(
+        "shard", "digest", "words", "first.rank", "first.row_key", "first.start"
     )
     shards = max(1, math.ceil(reference.count() / PIECES_PER_SHARD))
     beaten = (
