@@ -21,7 +21,7 @@ from finsieve.llm.common import keyed, split_words, store, table, text_parts
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair at 0.8 shares no band with probability (1 - 0.8^5)^40 = 1e-7, and less than two with 3e-6.
+#: A pair at 0.8 shares no band with probability (1 - 0.8^5)^40 = 1e-7.
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 #: Pairs whose signatures agree in less than this share are not verified; at 0.8 that
@@ -186,19 +186,33 @@ def similarity(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.ndarray) -
     return total, plain
 
 
+def _by_bytes(batch: pa.RecordBatch, columns: tuple[int, ...], most: int = 8_000_000) -> Iterator[slice]:
+    """Slices of a batch whose values in ``columns`` together stay near ``most`` bytes; at least one row each."""
+    start = size = 0
+    for i in range(batch.num_rows):
+        size += sum(len(batch.column(c)[i].as_buffer() or b"") for c in columns)
+        if size >= most:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield slice(start, batch.num_rows)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def view(column: pa.Array, i: int, kind: str) -> np.ndarray | None:
+        return np.frombuffer(column[i].as_buffer(), kind) if column[i].is_valid else None
+
     for batch in batches:
-        a, b, *rest = (batch.column(i).to_pylist() for i in range(6))
         good = []
-        for i, (ha, ca, hb, cb) in enumerate(zip(*rest)):
-            ha, hb = np.frombuffer(ha, "<u8"), np.frombuffer(hb, "<u8")
-            ca = np.frombuffer(ca, "<u4") if ca else np.ones(len(ha), np.uint32)
-            cb = np.frombuffer(cb, "<u4") if cb else np.ones(len(hb), np.uint32)
+        for i in range(batch.num_rows):
+            ha, hb = view(batch.column(2), i, "<u8"), view(batch.column(4), i, "<u8")
+            ca, cb = view(batch.column(3), i, "<u4"), view(batch.column(5), i, "<u4")
+            ca = np.ones(len(ha), np.uint32) if ca is None else ca
+            cb = np.ones(len(hb), np.uint32) if cb is None else cb
             if max(similarity(ha, ca, hb, cb)) >= THRESHOLD - 1e-12:
                 good.append(i)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())],
-            names=["a", "b"],
+            [batch.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], names=["a", "b"]
         )
 
 
@@ -284,6 +298,109 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(keys).alias("key"), "node")
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = batch.column(0).to_pylist()
+        raw, counted = batch.column(1), batch.column(2)
+        for part in _by_bytes(batch, (1,)):
+            hashes = [np.frombuffer(raw[i].as_buffer(), "<i8") for i in range(part.start, part.stop)]
+            counts = [
+                np.frombuffer(counted[i].as_buffer(), "<u4") if counted[i].is_valid else np.ones(len(h), np.uint32)
+                for i, h in zip(range(part.start, part.stop), hashes)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array(nodes[part], np.int64), [len(h) for h in hashes])),
+                    pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int32)),
+                ],
+                names=["node", "shingle", "count"],
+            )
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["shingle", "node", "label", "size", "at", "short", "by_sets", "by_counts", "repeats"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node, label, size, weight = (batch.column(i).to_numpy() for i in range(4))
+        # One row per shared shingle, the rarest of each node first.
+        cuts = batch.column(4).offsets.to_numpy()
+        cuts, flat = cuts - cuts[0], batch.column(4).flatten()
+        shingle, count = flat.field(1).to_numpy(), flat.field(2).to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(node)), np.diff(cuts))
+        sums = np.concatenate([[0], np.cumsum(count)])
+        at = np.arange(len(owner)) - cuts[owner] + (size - np.diff(cuts))[owner]
+        before = sums[:-1] - sums[cuts[:-1]][owner] + (weight - (sums[cuts[1:]] - sums[cuts[:-1]]))[owner]
+        by_sets = 5 * at <= size[owner]
+        by_counts = 5 * before <= weight[owner]
+        on = np.flatnonzero(by_sets | by_counts)
+        who = owner[on]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(x) for x in (
+                    shingle[on], node[who], label[who], size[who], at[on], 9 * at[on] <= size[who],
+                    by_sets[on], by_counts[on], (weight != size)[who],
+                )
+            ],
+            names=names,
+        )
+
+
+def rare_pairs(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``nodes`` (node, label) with different labels that may be similar; none is missed.
+
+    All shingles are put in one order, by the number of nodes that hold them, then by
+    hash. A pair with plain Jaccard of 0.8 shares 4/9 of the sum of both sizes, so the first
+    shingle both have is among the first fifth of the larger text's and the first ninth of
+    the smaller one's, and enough is left behind it. A pair with probability Jaccard of 0.8
+    shares 0.8 of either's weight, so its first common shingle has at most a fifth of the
+    weight before it; where no shingle repeats, both measures are the same. A text with over
+    a fifth of its own words meets nobody.
+    """
+    own = shingles.join(nodes.select("node"), "node")
+    opened = store(own.mapInArrow(_opened, "node long, shingle long, count int"), "member-shingles")
+    common = opened.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    totals = opened.groupBy("node").agg(
+        F.count(F.lit(1)).alias("size"), F.sum(F.col("count").cast("long")).alias("weight")
+    )
+    shared = (
+        opened.join(common, "shingle").groupBy("node")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "count"))).alias("shared"))
+    )
+    prefixes = store(
+        totals.join(shared, "node").join(nodes, "node")
+        .where("5 * (size - size(shared)) <= size OR size <> weight")
+        .select("node", "label", "size", "weight", "shared")
+        .mapInArrow(
+            _prefixes,
+            "shingle long, node long, label long, size long, at long, short boolean, by_sets boolean, "
+            "by_counts boolean, repeats boolean",
+        ),
+        "prefixes",
+    )
+    # Nodes of the largest class under a shingle never meet each other there.
+    several = (
+        prefixes.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+        .where("labels > 1").select("shingle", F.col("top.label").alias("top"))
+    )
+    rows = prefixes.join(several, "shingle").withColumn("top", F.col("label") == F.col("top"))
+    x = rows.where("short OR repeats").alias("x")
+    y = rows.withColumn(
+        "meets_top", F.explode(F.when(F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False))))
+    ).alias("y")
+    by_sets = F.expr(
+        "x.short AND y.by_sets AND (x.size < y.size OR x.size = y.size AND x.node < y.node) "
+        "AND 9 * least(x.size - x.at, y.size - y.at) >= 4 * (x.size + y.size)"
+    )
+    by_counts = F.expr("(x.repeats OR y.repeats) AND x.by_counts AND y.by_counts")
+    return (
+        x.join(y, F.expr("x.shingle = y.shingle AND x.top = y.meets_top AND x.label <> y.label") & (by_sets | by_counts))
+        .select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: row_key, doc_id, class_id, class_size, kept.
 
@@ -295,10 +412,9 @@ def near_duplicates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     fewer than five words are one shingle, so they are similar only when equal.
 
     Equal texts are one node from the start. In a bucket every node is compared with the
-    smallest one. Only buckets whose nodes are then in different classes are looked at
-    again: there the nodes of the largest class meet all others, and the others meet each
-    other if two such buckets bring them together. So a group of very many copies is never
-    paired with itself, nor are texts that share one common passage.
+    smallest one. Only nodes of buckets that then hold different classes are looked at
+    again, by :func:`rare_pairs`. So a group of very many copies is never paired with
+    itself, nor are texts that share one common passage.
     """
     rows = store(sketch(docs, key, id_column, text_column), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
@@ -331,43 +447,12 @@ def near_duplicates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     named = buckets.join(labels, "node", "left").select(
         "key", "node", F.coalesce("label", "node").alias("label")
     )
-    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
-        sizes.groupBy("key")
-        .agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-        .where("labels > 1").select("key", F.col("top.label").alias("top"))
-    )
-    inside = store(named.join(mixed, "key"), "mixed-buckets")
-    others = inside.where("label <> top").select("key", F.col("node").alias("b"), "label")
-    with_top = (
-        inside.where("label = top").select("key", F.col("node").alias("a"))
-        .join(others.select("key", "b"), "key").select("a", "b")
-    )
-    # Nodes outside the largest class may be many, each in a class of its own, where texts
-    # share no more than a common passage: they have to meet in two buckets.
-    of_node = others.groupBy(F.col("b").alias("node"), "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    two = F.flatten(
-        F.transform(
-            "keys",
-            lambda k, i: F.transform(
-                F.slice("keys", i + 2, F.size("keys")), lambda other: F.xxhash64(k, other)
-            ),
-        )
-    )
-    twice = store(of_node.where("size(keys) > 1").select("node", "label", F.explode(two).alias("two")), "two-buckets")
-    pairs = (
-        twice.groupBy("two").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-        .where("least <> most").select("two")
-    )
-    meeting = twice.join(pairs, "two")
-    without_top = (
-        meeting.select("two", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        .join(meeting.select("two", F.col("node").alias("b"), F.col("label").alias("label_b")), "two")
-        .where("a < b AND label_a <> label_b").select("a", "b")
-    )
-    across = (
-        with_top.union(without_top).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        .where("least <> most").select("key")
     )
+    inside = store(named.join(mixed, "key").select("node", "label").distinct(), "mixed-nodes")
+    across = rare_pairs(inside, shingles)
     more = verify(across, signed, shingles)
     labels = components(links.union(more))
 

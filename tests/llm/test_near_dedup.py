@@ -7,8 +7,10 @@ import pytest
 from finsieve.llm.common import keyed
 from finsieve.llm.near_dedup import (
     REGISTERS,
+    _shingle_rows,
     keep_one_of_each,
     near_duplicates,
+    rare_pairs,
     shingles_of,
     signatures,
     similarity,
@@ -122,6 +124,35 @@ def test_copies_that_repeat_a_line_differently_often(spark):
     assert all(r.class_id == r.doc_id // 100 * 100 + 2 for r in out)
 
 
+def test_rare_shingles_bring_all_similar_pairs_together(spark):
+    # Families of copies of one passage at all distances, some with lines repeated or cut off.
+    rows, rng = [], random.Random(5)
+    for g in range(6):
+        base = prose(300 + g, 90, 5000).split()
+        for k in range(25):
+            copy = list(base[: rng.randrange(60, 91)])
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(len(copy))] = rng.choice(["same", f"own{g}x{k}"])
+            copy += copy[:12] * rng.choice([0, 0, 0, 1, 9])
+            rows.append((1000 * g + k, " ".join(copy)))
+    shingles = spark.createDataFrame(rows, "node long, text string").mapInArrow(
+        _shingle_rows, "node long, hashes binary, counts binary"
+    )
+    sets = [counted(t) for _, t in rows]
+    alike = {
+        (rows[a][0], rows[b][0]) for a, b in combinations(range(len(rows)), 2)
+        if max(similarity(*sets[a], *sets[b])) >= 0.8
+    }
+    nodes = spark.createDataFrame([(i, i) for i, _ in rows], "node long, label long")
+    found = {(r.a, r.b) for r in rare_pairs(nodes, shingles).collect()}
+    assert len(alike) > 50 and alike <= found
+    assert len(found) < 6 * 25 * 24 / 2 / 2
+    # Within one label nothing is compared; between labels nothing is lost.
+    half = spark.createDataFrame([(i, i % 2) for i, _ in rows], "node long, label long")
+    found = {(r.a, r.b) for r in rare_pairs(half, shingles).collect()}
+    assert {(a, b) for a, b in alike if (a - b) % 2} <= found and all((a - b) % 2 for a, b in found)
+
+
 def test_stage_and_empty_table(spark):
     docs = documents(spark, near_corpus())
     kept = keep_one_of_each(docs)
