@@ -318,7 +318,10 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["shingle", "node", "label", "size", "at", "short", "by_sets", "by_counts", "repeats"]
+    names = [
+        "shingle", "node", "label", "size", "at", "weight", "before",
+        "short_sets", "by_sets", "short_counts", "by_counts", "repeats",
+    ]
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -338,8 +341,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(x) for x in (
-                    shingle[on], node[who], label[who], size[who], at[on], 9 * at[on] <= size[who],
-                    by_sets[on], by_counts[on], (weight != size)[who],
+                    shingle[on], node[who], label[who], size[who], at[on], weight[who], before[on],
+                    9 * at[on] <= size[who], by_sets[on], 9 * before[on] <= weight[who], by_counts[on],
+                    (weight != size)[who],
                 )
             ],
             names=names,
@@ -352,10 +356,13 @@ def rare_pairs(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
     All shingles are put in one order, by the number of nodes that hold them, then by
     hash. A pair with plain Jaccard of 0.8 shares 4/9 of the sum of both sizes, so the first
     shingle both have is among the first fifth of the larger text's and the first ninth of
-    the smaller one's, and enough is left behind it. A pair with probability Jaccard of 0.8
-    shares 0.8 of either's weight, so its first common shingle has at most a fifth of the
-    weight before it; where no shingle repeats, both measures are the same. A text with over
-    a fifth of its own words meets nobody.
+    the smaller one's, and enough is left behind it. Where the other text lacks shares u and
+    v of the two weights, probability Jaccard is at most (1-u)(1-v)/(1-uv); what stands
+    before the first common shingle is lacking, so that is at most a fifth of either weight
+    and at most a ninth of one. (For a common shingle i the reciprocal of its term is at
+    least 1/p_i + v/q_i; the terms are concave in p and q, so their sum is at most that of
+    the sums.) Where no shingle repeats, both measures are the same. A text with over a
+    fifth of its own words meets nobody.
     """
     own = shingles.join(nodes.select("node"), "node")
     opened = store(own.mapInArrow(_opened, "node long, shingle long, count int"), "member-shingles")
@@ -373,8 +380,8 @@ def rare_pairs(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
         .select("node", "label", "size", "weight", "shared")
         .mapInArrow(
             _prefixes,
-            "shingle long, node long, label long, size long, at long, short boolean, by_sets boolean, "
-            "by_counts boolean, repeats boolean",
+            "shingle long, node long, label long, size long, at long, weight long, before long, "
+            "short_sets boolean, by_sets boolean, short_counts boolean, by_counts boolean, repeats boolean",
         ),
         "prefixes",
     )
@@ -385,15 +392,18 @@ def rare_pairs(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
         .where("labels > 1").select("shingle", F.col("top.label").alias("top"))
     )
     rows = prefixes.join(several, "shingle").withColumn("top", F.col("label") == F.col("top"))
-    x = rows.where("short OR repeats").alias("x")
+    x = rows.where("short_sets OR short_counts").alias("x")
     y = rows.withColumn(
         "meets_top", F.explode(F.when(F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False))))
     ).alias("y")
     by_sets = F.expr(
-        "x.short AND y.by_sets AND (x.size < y.size OR x.size = y.size AND x.node < y.node) "
+        "x.short_sets AND y.by_sets AND (x.size < y.size OR x.size = y.size AND x.node < y.node) "
         "AND 9 * least(x.size - x.at, y.size - y.at) >= 4 * (x.size + y.size)"
     )
-    by_counts = F.expr("(x.repeats OR y.repeats) AND x.by_counts AND y.by_counts")
+    by_counts = F.expr(
+        "(x.repeats OR y.repeats) AND x.short_counts AND y.by_counts "
+        "AND 5 * (x.weight - x.before) * (y.weight - y.before) >= 4 * (x.weight * y.weight - x.before * y.before)"
+    )
     return (
         x.join(y, F.expr("x.shingle = y.shingle AND x.top = y.meets_top AND x.label <> y.label") & (by_sets | by_counts))
         .select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b"))
