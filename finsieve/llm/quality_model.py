@@ -14,17 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finsieve.llm.common import free_name, split_words, table
+from finsieve.llm.common import free_name, split_words, store, table
 from finsieve.llm.quality_rules import STOP_WORDS
 
 PASSAGE = 100
-#: At most so many labelled documents are fitted on, and so many passages of each of them
-#: (evenly spread). Scoring always uses all passages of all documents.
+#: The model is fitted on at most so many labelled rows, in hash order, and on no further row
+#: once their passages are this many. Of a row that takes part every passage is encoded, as
+#: scoring does with all rows.
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 32
+TRAIN_PASSAGES = 200_000
 HIDDEN, GATES, EPOCHS, SEED = 24, 12, 40, 7
 THRESHOLD = 0.3
 
@@ -184,7 +185,7 @@ class GatedAttention:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most TRAIN_DOCS labelled documents (doc_id, text, quality) in hash order.
+    """The rows (doc_id, text, quality) of at most TRAIN_DOCS labelled ids in hash order.
 
     Only ids whose crc32 (of the id as text) mod 5 is not 0 take part; null or
     contradictory labels of an id do not.
@@ -208,19 +209,29 @@ def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, counts = measures(batch["text"].tolist())
         out = []
         for rows in np.split(x, np.cumsum(counts)[:-1]):
-            if len(rows) > TRAIN_PASSAGES:
-                rows = rows[np.linspace(0, len(rows) - 1, TRAIN_PASSAGES).astype(int)]
             out.append(rows.astype("<f4").tobytes())
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "bag": out})
+        yield pd.DataFrame({
+            "doc_id": batch["doc_id"], "quality": batch["quality"], "n_passages": counts, "bag": out,
+        })
 
 
 def train(docs: DataFrame, labels: DataFrame) -> GatedAttention | float:
     """The fitted model, or the share of label 1 (0.5 without labels) if one class is missing.
 
-    The bags that reach the driver are bounded by TRAIN_DOCS x TRAIN_PASSAGES rows.
+    Rows that share an id count one by one. What reaches the driver is bounded by TRAIN_DOCS
+    rows, and by TRAIN_PASSAGES passages and those of the row that reaches that number.
     """
-    bags = training_rows(docs, labels).mapInPandas(_bags, "doc_id long, quality int, bag binary")
-    found = bags.orderBy("doc_id", "bag").limit(2 * TRAIN_DOCS).toPandas()
+    bags = training_rows(docs, labels).mapInPandas(
+        _bags, "doc_id long, quality int, n_passages long, bag binary"
+    )
+    drawn = store(bags, "bags").orderBy(F.xxhash64("doc_id"), "doc_id", "bag").limit(TRAIN_DOCS)
+    # One window over at most TRAIN_DOCS rows.
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "bag").rowsBetween(Window.unboundedPreceding, -1)
+    taken = drawn.withColumn("before", F.coalesce(F.sum("n_passages").over(before), F.lit(0)))
+    found = (
+        taken.where(F.col("before") < TRAIN_PASSAGES).select("doc_id", "quality", "bag")
+        .orderBy("doc_id", "bag").toPandas()
+    )
     label = found["quality"].to_numpy(float)
     if len(np.unique(label)) < 2:
         return float(label[0]) if len(label) else 0.5

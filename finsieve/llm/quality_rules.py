@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm.common import let, table, text_or_empty, words_of
+from finsieve.llm.common import free_name, let, table, text_or_empty, words_of
 
 WINDOW = 5
 
@@ -92,27 +92,29 @@ def _repeated_words(words: Column, size: int) -> Column:
 def measure(docs: DataFrame, text_column: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the struct column ``measures``; nothing leaves its row, nothing is shuffled.
 
-    A null or blank text has no words: all its counts and ratios are 0.
+    A null or blank text has no words: all its counts and ratios are 0. A column ``measures``
+    that ``docs`` has already is replaced, every other column stays.
     """
+    words, kept_lines = free_name(docs, "words_"), free_name(docs, "lines_")
     text = text_or_empty(text_column)
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
-    wide = docs.withColumns({"_words": words_of(text), "_lines": lines})
-    n = F.size("_words").cast("long")
-    n_lines = F.size("_lines").cast("long")
+    wide = docs.withColumns({words: words_of(text), kept_lines: lines})
+    n = F.size(words).cast("long")
+    n_lines = F.size(kept_lines).cast("long")
     counted = wide.withColumn(
         "measures",
         F.struct(
             n.alias("n_words"),
-            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             n_lines.alias("n_lines"),
-            (n_lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            _repeated_words(F.col("_words"), window).alias("n_repeat_words"),
-            F.size(F.filter("_words", lambda w: w.isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
+            (n_lines - F.size(F.array_distinct(kept_lines))).cast("long").alias("n_dup_lines"),
+            _repeated_words(F.col(words), window).alias("n_repeat_words"),
+            F.size(F.filter(words, lambda w: w.isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
         ),
     )
-    return counted.drop("_words", "_lines")
+    return counted.drop(words, kept_lines)
 
 
 def ratios(m: Column) -> dict[str, Column]:

@@ -90,3 +90,19 @@ def test_awkward_rows_missing_classes_and_empty_tables(spark):
     assert train(documents(spark, rows), labels(spark, [])) == 0.5
     assert train(documents(spark, rows), labels(spark, [(2, 1, 0), (3, 1, 0)])) == 1.0
     assert keep_good(documents(spark, []), labels(spark, marks)).count() == 0
+
+
+def test_fit_takes_whole_rows_until_its_passages_are_enough(spark, monkeypatch):
+    from finsieve.llm import quality_model
+
+    long_text = prose(1, 100 * PASSAGE)
+    rows = [(i, long_text if i % 2 else prose(i, 30)) for i in range(200)] + [(7, long_text), (7, "x"), (None, "y")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_model.GatedAttention, "fit", lambda x, counts, label: seen.append((len(x), counts, label)))
+    train(documents(spark, rows), labels)
+    monkeypatch.setattr(quality_model, "TRAIN_PASSAGES", 450)
+    train(documents(spark, rows), labels)
+    (whole, counts, _), (some, few, _) = seen
+    assert whole == counts.sum() and set(counts) == {1, 100}
+    assert set(few) == {1, 100} and 450 <= some < 550 and len(few) < len(counts)

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from finsieve.llm.quality_rules import RULES, Rule, judge
 
 from helpers import awkward, documents, prose, words
@@ -48,3 +50,15 @@ def test_empty_table_and_no_python_in_the_plan(spark):
     assert empty.count() == 0
     plan = empty._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    docs = documents(spark, [(1, "a b"), (2, None)])
+    for name in ("words_", "_words_", "lines_", "_words", "_lines"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = judge(docs)
+    assert set(out.columns) - set(docs.columns) == {"measures", "broken_rules", "base_failed"}
+    for r in out.collect():
+        assert [r[n] for n in ("words_", "_words_", "lines_", "_words", "_lines", "words")] == [
+            "words_", "_words_", "lines_", "_words", "_lines", None,
+        ]
