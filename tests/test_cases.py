@@ -185,3 +185,30 @@ def test_screening_misses_nothing(spark):
         }
         assert {(r["name"], r["entry"]) for r in found} == set(wanted)
         assert all(abs(r["score"] - wanted[r["name"], r["entry"]]) < 1e-9 for r in found)
+
+
+def test_cases_of_few_updates_are_walked_together(spark):
+    """No pandas group per case, and a case goes on where an Arrow batch ends."""
+    cases = spark.createDataFrame([(f"C{i}", "new") for i in range(40)], "case_id string, status string")
+    start = datetime(2024, 1, 1)
+    wanted = ("investigating", "closed", "new")
+    rows = [
+        (f"C{i}", 3 * i + j, start + timedelta(hours=j), wanted[j], None, None, None, None, None, "a")
+        for i in range(40) for j in (2, 0, 1)
+    ]
+    log = spark.createDataFrame(rows, K._LOG)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        judged = K.judge_updates(cases, log)
+        found = {
+            r["update_seq"]: (r["status_before"], r["status_after"], r["code"]) for r in judged.collect()
+        }
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 120
+    steps = [
+        ("new", "investigating", None), ("investigating", "closed", None),
+        ("closed", "closed", "invalid_status_transition"),
+    ]
+    assert all(found[3 * i + j] == steps[j] for i in range(40) for j in range(3))
+    assert "FlatMapGroupsInPandas" not in judged._jdf.queryExecution().executedPlan().toString()
