@@ -138,26 +138,23 @@ def top_contributions(parts: Column, k: int = 5) -> Column:
 
 def explain_linear(rows: DataFrame, model: LinearModel, k: int = 5) -> DataFrame:
     """Score, base value and strongest contributions of every row."""
-    names = vocab.FEATURE_NAMES
-    priced = rows.withColumns({f"_c_{n}": part for n, part in model.parts().items()})
-    margin = F.lit(model.intercept)
-    for n in names:
-        margin += F.col(f"_c_{n}")
+    # The parts are no columns of their own: a filter on the score would double its
+    # constraints with each of them while it is planned.
     parts = F.array(
         *[
             F.struct(
                 F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"),
-                F.col(f"_c_{n}").alias("contribution"),
+                part.alias("contribution"),
             )
-            for n in names
+            for n, part in model.parts().items()
         ]
     )
-    return priced.withColumns(
+    return rows.withColumns(
         {
-            "base_value": F.lit(model.intercept), "score": sigmoid(margin),
+            "base_value": F.lit(model.intercept), "score": model.score(),
             "top_features": top_contributions(parts, k),
         }
-    ).drop(*[f"_c_{n}" for n in names])
+    )
 
 
 # --- boosted trees --------------------------------------------------------------------------------

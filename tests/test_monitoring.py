@@ -228,3 +228,29 @@ def test_trees_explain_their_scores(spark):
     assert 1 / (1 + math.exp(-total)) == pytest.approx(out["score"])
     with pytest.raises(InputError):
         M.check_features(vocab.FEATURE_NAMES[::-1])
+
+
+def test_filter_on_a_linear_score_is_planned_in_bounded_space(spark):
+    from finsieve.plans.models import stored_model
+
+    columns = ", ".join(f"{n} double" for n in vocab.FEATURE_NAMES)
+    df = spark.createDataFrame([(0, *[1.0] * 15), (1, *[9.0] * 15)], f"seq long, {columns}")
+    model = stored_model()
+    assert set(M.explain_linear(df, model).columns) == {*df.columns, "base_value", "score", "top_features"}
+    priced = M.explain_linear(df, model).where("score >= 0.6").select("seq", "score")
+    # Planned as far as the parts go, not further: with columns of parts this does not end.
+    projected = priced._jdf.queryExecution().analyzed().toString()
+    assert "_c_" not in projected
+    assert [r["seq"] for r in priced.join(df, "seq").collect()] == [1]
+
+
+def test_bandit_draws_are_spread(spark):
+    variants = spark.createDataFrame(
+        [("T", "running", 0, "a", 0.5, True), ("T", "running", 1, "b", 0.5, False)],
+        "test_id string, status string, position int, variant string, traffic double, is_control boolean")
+    asked = spark.range(50).select("id", F.lit("T").alias("test_id")).coalesce(1)
+    outcomes = asked.select("test_id", F.lit("b").alias("variant"), (F.col("id") > 1).alias("success"))
+    drawn = X.assign_by_bandit(asked, variants, outcomes, 5)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_seed" in plan.split("MapInPandas")[1]
+    assert drawn.where("variant = 'b'").count() > 40
