@@ -17,7 +17,7 @@ from finsieve.plans.alerts import _HALF_WALKS, _TRAVEL
 from finsieve.plans.models import _SCORED, stored_model
 from finsieve.plans.registry import query
 from finsieve.plans.transactions import _HISTORY_SQL, _history_columns
-from finsieve.session import cut_lineage, work_folder
+from finsieve.session import work_folder
 from finsieve.sources import streams
 from finsieve.streaming import jobs as J
 from finsieve.streaming.online import OnlineHistory
@@ -27,6 +27,33 @@ from finsieve.streaming.unique import SeenIds
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_WAVE_FILES = 8
+
+
+def _in_waves(spark: SparkSession, rows: DataFrame, wave: str, name: str) -> DataFrame:
+    """``rows`` as a stream of one micro-batch per value of ``wave``, in order.
+
+    The rows are read once and dealt out by wave; each wave then arrives as the same number
+    of files, so that its batch is read by many tasks and ends where the wave does.
+    """
+    columns = [c for c in rows.columns if c != wave]
+    staged, out = work_folder(spark, f"{name}-staged"), work_folder(spark, name)
+    rows.write.partitionBy(wave).parquet(staged)
+    held = spark.read.schema(rows.schema).parquet(staged)
+    found = [r[0] for r in held.select(wave).distinct().collect()]  # calendar spans
+    files = max(_WAVE_FILES, spark.sparkContext.defaultParallelism)
+    arrived = 0
+    for value in sorted(found, key=lambda v: (v is not None, v)):
+        part = held.where(F.col(wave).eqNullSafe(F.lit(value))).select(*columns)
+        part.repartition(files).write.mode("append").parquet(out)
+        arrived += files
+        # A wave of few rows may leave files out; empty ones take their places.
+        while len(spark.read.schema(part.schema).parquet(out).inputFiles()) < arrived:
+            part.limit(0).coalesce(1).write.mode("append").parquet(out)
+    arriving = spark.readStream.schema(held.select(*columns).schema)
+    return arriving.option("maxFilesPerTrigger", files).parquet(out)
+
+
 def received_stream(spark: SparkSession, sf_dir: str, days: int = 8) -> DataFrame:
     """The events table as a stream of received transactions, in several micro-batches.
 
@@ -34,15 +61,8 @@ def received_stream(spark: SparkSession, sf_dir: str, days: int = 8) -> DataFram
     batch but the first meets what the ones before have left.
     """
     events = T.table(spark, sf_dir, "events")
-    out = work_folder(spark, "arrivals")
     span = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (days * 86_400))
-    spans = sorted(r[0] for r in events.select(span).distinct().collect())
-    for start in spans:
-        events.where(span == start).write.mode("append").parquet(out)
-    stored = spark.read.parquet(out)
-    per_batch = max(1, len(stored.inputFiles()) // max(1, len(spans)))
-    arriving = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", per_batch)
-    return T.received_rows(arriving.parquet(out))
+    return T.received_rows(_in_waves(spark, events.withColumn("span", span), "span", "arrivals"))
 
 
 def _run(writer, checkpoint: str | None = None) -> None:
@@ -113,9 +133,6 @@ timed AS (SELECT wave, date_trunc('hour', ts) AS t,
                  event_id - CASE WHEN event_id % 50 = 49 THEN 1 ELSE 0 END AS tid FROM arrivals)"""
 
 
-_WAVE_FILES = 8
-
-
 def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream in waves, one micro-batch each, with late and repeated rows."""
     events = T.table(spark, sf_dir, "events")
@@ -123,14 +140,8 @@ def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     final = events.agg(F.max(span)).first()[0]
     late = F.when(F.col("event_id") % 37 == 5, F.least(span + 2, F.lit(final))).otherwise(span)
     again = events.where(F.col("event_id") % 41 == 7).withColumn("wave", F.lit(final))
-    arriving = cut_lineage(events.withColumn("wave", late).unionByName(again))
-    out = work_folder(spark, "waves")
-    waves = sorted(r[0] for r in arriving.select("wave").distinct().collect())
-    for wave in waves:
-        rows = arriving.where(F.col("wave") == wave).drop("wave")
-        rows.repartition(_WAVE_FILES).write.mode("append").parquet(out)
-    found = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", _WAVE_FILES)
-    return T.received_rows(found.parquet(out))
+    arriving = events.withColumn("wave", late).unionByName(again)
+    return T.received_rows(_in_waves(spark, arriving, "wave", "waves"))
 
 
 def _taken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,10 @@ from finsieve.functions import scalars as S
 from finsieve.operators import detectors as D
 from finsieve.options import DetectionOptions
 
-_STATE = "at_us LONG, id STRING, city STRING, lat DOUBLE, lon DOUBLE"
+#: Senders share state by bucket: a call of the state function costs milliseconds whatever its rows.
+BUCKETS = 1024
+#: JSON list of [sender, processing time at which it was last heard, at_us, id, city, lat, lon].
+_STATE = "places STRING"
 _COLUMNS = [
     "transaction_id", "timestamp", "sender_iban", "sender_name", "sender_city",
     "receiver_iban", "receiver_name", "receiver_city", "amount", "currency",
@@ -25,34 +29,40 @@ _LAST = "last_us LONG, last_id STRING, last_city STRING, last_lat DOUBLE, last_l
 
 
 def _follow(ttl_ms: int):
-    """State function: pair every location with the newest one known before it."""
+    """State function: pair every location with the sender's newest one known before it."""
 
     def handle(
-        key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
+        key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentProcessingTimeMs()
+        known = {}
+        if state.exists:
+            known = {sender: (heard, tuple(p)) for sender, heard, *p in json.loads(state.get[0])}
+        parts = [] if state.hasTimedOut else list(batches)
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            rows = rows.sort_values(["at_us", "transaction_id", "sender_city"], kind="stable")
+            before = []
+            columns = ("sender_iban", "at_us", "transaction_id", "sender_city", "lat", "lon")
+            for sender, *place in zip(*[rows[c].tolist() for c in columns]):
+                _, last = known.get(sender, (now, None))
+                here = tuple(place)
+                before.append(last or (None,) * 5)
+                # A late row is compared but never replaces a newer location.
+                known[sender] = (now, here if last is None or here[:3] >= last[:3] else last)
+            found = pd.DataFrame(
+                before, columns=["last_us", "last_id", "last_city", "last_lat", "last_lon"],
+                index=rows.index,
+            )
+            found["last_us"] = found["last_us"].astype("Int64")
+            yield pd.concat([rows.drop(columns="_bucket"), found], axis=1)
+        # Who was heard in this batch stays; the others only for their time to live.
+        left = [[s, heard, *p] for s, (heard, p) in known.items() if heard + ttl_ms > now]
+        if left:
+            state.update((json.dumps(left),))
+            state.setTimeoutDuration(min(heard for _, heard, *_ in left) + ttl_ms - now)
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows.sort_values(["at_us", "transaction_id", "sender_city"], kind="stable")
-        last = tuple(state.get) if state.exists else None
-        before = []
-        for t, tid, city, lat, lon in zip(
-            rows["at_us"], rows["transaction_id"], rows["sender_city"], rows["lat"], rows["lon"]
-        ):
-            here = (int(t), tid, city, float(lat), float(lon))
-            before.append(last or (None,) * 5)
-            # A late row is compared but never replaces a newer location.
-            if last is None or here[:3] >= last[:3]:
-                last = here
-        state.update(last)
-        state.setTimeoutDuration(ttl_ms)
-        found = pd.DataFrame(
-            before, columns=["last_us", "last_id", "last_city", "last_lat", "last_lon"],
-            index=rows.index,
-        )
-        found["last_us"] = found["last_us"].astype("Int64")
-        yield pd.concat([rows, found], axis=1)
 
     return handle
 
@@ -60,14 +70,16 @@ def _follow(ttl_ms: int):
 def with_last_location(rows: DataFrame, ttl_hours: int = 24) -> DataFrame:
     """Stream twin of the batch operator: rows of known cities with ``here`` and ``last``.
 
-    A sender's location is forgotten when nothing was heard for the time to live.
+    A sender's location is forgotten when nothing was heard for the time to live. Rows
+    without a time have no place in the order.
     """
     point = S.city_point(F.col("sender_city"))
     known = rows.select(
         *_COLUMNS, F.unix_micros("timestamp").alias("at_us"), point["lat"].alias("lat"),
         point["lon"].alias("lon"),
-    ).where(F.col("lat").isNotNull())
-    seen = known.groupBy("sender_iban").applyInPandasWithState(
+    ).where(F.col("lat").isNotNull() & F.col("at_us").isNotNull())
+    bucket = F.pmod(F.xxhash64("sender_iban"), F.lit(BUCKETS)).alias("_bucket")
+    seen = known.select("*", bucket).groupBy("_bucket").applyInPandasWithState(
         _follow(ttl_hours * 3_600_000), f"{_ROW}, {_LAST}", _STATE, "append",
         GroupStateTimeout.ProcessingTimeTimeout,
     )

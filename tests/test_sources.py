@@ -228,3 +228,41 @@ def test_stream_detection_equals_batch(spark, tmp_path):
     assert {k for _, k in wanted} == {"circular_ring", "impossible_travel", "blacklist_keyword"}
     travel = travel_stream(stream, options)
     assert travel.isStreaming
+
+
+def test_waves_are_one_batch_each(spark, tmp_path):
+    """Waves of one row and of many, and rows without a wave, each end with their batch."""
+    from finsieve.plans.streams import _in_waves
+
+    rows = [(i, 0) for i in range(300)] + [(1000, 1)] + [(2000 + i, 2) for i in range(5)] + [(9, None)]
+    frame = spark.createDataFrame(rows, "id long, wave long").coalesce(1)
+    read = {}
+
+    def handle(batch, batch_id):
+        read[batch_id] = (sorted(r["id"] for r in batch.collect()), batch.rdd.getNumPartitions())
+
+    run(_in_waves(spark, frame, "wave", "test-waves").writeStream.foreachBatch(handle), tmp_path / "c")
+    assert [read[i][0] for i in sorted(read)] == [
+        [9], list(range(300)), [1000], [2000 + i for i in range(5)]]
+    assert read[1][1] > 1  # a span of one input file is no longer one task
+
+
+def test_travel_state_is_shared_by_buckets(spark, tmp_path):
+    """As many senders as there are in a bucket: one call, the right last place, late rows too."""
+    from finsieve.streaming import travel
+
+    rows = received(spark, 60).withColumn(
+        "sender_iban", F.concat("sender_iban", F.lit("-"), F.col("amount").cast("int") % 50))
+    rows = rows.unionByName(rows.withColumns({
+        "transaction_id": F.concat("transaction_id", F.lit("b")), "sender_city": F.lit("Tokyo"),
+        "timestamp": F.col("timestamp") + F.expr("INTERVAL 1 HOUR")}))
+    rows = rows.unionByName(rows.limit(1).withColumns({
+        "transaction_id": F.lit("none"), "timestamp": F.lit(None).cast("timestamp")}))
+    wanted = {r["transaction_id"] for r in D.impossible_travel(rows.where("timestamp IS NOT NULL")).collect()}
+    stream = in_parts(rows, tmp_path / "in", 2, ["timestamp", "transaction_id"])
+    found = travel_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    run(found, tmp_path / "c")
+    got = [r["transaction_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(wanted) > 10 and sorted(got) == sorted(wanted)
+    states = spark.read.format("statestore").load(str(tmp_path / "c")).count()
+    assert 0 < states <= travel.BUCKETS
