@@ -107,7 +107,8 @@ def assign_by_bandit(
             yield pdf[columns].assign(variant=best)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return ready.mapInPandas(draw, schema + ", variant string")
+    # The draws cost far more than the reading: a few large files must not mean a few tasks.
+    return ready.repartition("_seed").mapInPandas(draw, schema + ", variant string")
 
 
 def outcome_totals(outcomes: DataFrame) -> DataFrame:
