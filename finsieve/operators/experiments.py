@@ -54,7 +54,8 @@ def _pick(share: Column) -> Column:
 
 
 def _assign(requests: DataFrame, variants: DataFrame, share: Column) -> DataFrame:
-    rows = requests.join(_plans(variants), "test_id")
+    # Hashing and picking cost far more than the reading: a few large files are dealt out first.
+    rows = requests.repartition(*requests.columns).join(_plans(variants), "test_id")
     chosen = F.when(F.col("status") == "running", _pick(share)).otherwise(F.col("control"))
     return rows.select(*requests.columns, chosen.alias("variant"))
 
