@@ -6,12 +6,13 @@ automata of the whole corpus to all documents would cost corpus x shards, so bot
 are first cut down to what repeats and then routed:
 
 * Every window of ``WINDOW`` words has an anchor, the ``GRAM`` words in it with the
-  smallest hash. Equal windows have equal anchors, so only windows whose anchor occurs
-  twice can repeat.
-* The consecutive windows of one anchor are one piece of text. Equal pieces become one
-  row with the earliest place by a partial aggregate, however many there are.
-* Only anchors with several different pieces need an automaton. They are dealt to shards
-  of bounded size.
+  smallest hash. Equal windows have equal anchors.
+* The consecutive windows of one anchor are one piece of text, known by its anchor and the
+  hash of its bytes. Equal pieces become one row with the earliest place by a partial
+  aggregate, however many there are.
+* Only anchors with several different pieces need an automaton. The texts are read again for
+  the words of these, one place per piece, and the anchors are dealt to shards of bounded
+  size. In a shard every anchor has its own automaton: others hold none of its windows.
 * An anchor with more pieces than a shard holds goes to no automaton: its windows are rows,
   a partial aggregate finds the earliest place of each, and a piece keeps the windows that
   it wins. No task meets all its pieces.
@@ -22,32 +23,31 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finsieve.llm.common import free_name, keyed, split_words, store, table, text_parts
+from finsieve.llm.common import free_name, keyed, store, table, text_parts
 from finsieve.session import work_folder
 
 WINDOW = 20
 GRAM = 5
 PIECES_PER_SHARD = 4000
 
-_CACHED_WORDS = 300_000
+#: Bytes hashed at a time: the arrays stay in the processor's cache.
+_BYTES = 1 << 16
+_FACTOR = 0x9E3779B97F4A7C15
+#: The low bits of a gram's code are its place, so that the smallest code has the leftmost place.
+_PLACE_BITS = 20
 
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
+_IS_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,94 +57,132 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def anchor_runs(bags: list[list[bytes]], window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text number, first window, last window, anchor hash) of all runs of windows with one anchor.
+_BYTE_CODES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_FACTOR))
+
+
+@cache
+def _powers(factor: int) -> np.ndarray:
+    """The powers of ``factor`` modulo 2^64, for every place in a stretch of bytes."""
+    powers = np.full(2 * _BYTES, factor, np.uint64)
+    powers[0] = 1
+    return np.multiply.accumulate(powers)
+
+
+def flat_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts as bytes with one space behind each; the start of every word and
+    the end; the number of the first word of every text and that of all words."""
+    lengths = [len(t or b"") + 1 for t in texts]
+    raw = np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)
+    solid = ~_IS_BLANK[raw]
+    stays = solid.copy()
+    stays[1:] |= solid[:-1]
+    flat = np.where(solid, raw, np.uint8(32))[stays]
+    bounds = np.concatenate([[0], np.flatnonzero(flat == 32) + 1])
+    solid[1:] &= ~solid[:-1].copy()
+    first = np.searchsorted(np.flatnonzero(solid), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
+    return flat, bounds, first
+
+
+def word_hashes(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of every word's bytes: a polynomial by running sums, or xxh64 for very long words."""
+    out = np.empty(len(bounds) - 1, np.uint64)
+    long = np.flatnonzero(np.diff(bounds) > _BYTES)
+    cuts = np.searchsorted(bounds, np.arange(0, bounds[-1] + _BYTES, _BYTES)).clip(max=len(out))
+    cuts = np.unique(np.concatenate([cuts, long, long + 1])).tolist()
+    powers, inverses = _powers(_FACTOR), _powers(pow(_FACTOR, -1, 1 << 64))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        stretch, starts = flat[bounds[a] : bounds[b]], bounds[a:b] - bounds[a]
+        if b == a + 1 and len(stretch) > _BYTES:
+            out[a] = xxhash.xxh64_intdigest(stretch.tobytes())
+        else:
+            out[a:b] = np.add.reduceat(_BYTE_CODES[stretch] * powers[: len(stretch)], starts) * inverses[starts]
+    return _mixed(out)
+
+
+def anchor_runs(
+    flat: np.ndarray, bounds: np.ndarray, first: np.ndarray, window: int, gram: int
+) -> tuple[np.ndarray, ...]:
+    """(text number, first word, last window's first word, anchor) of all runs of windows with one
+    anchor in the texts of :func:`flat_words`; words are counted over all texts.
 
     The anchor of a window is the leftmost of its grams with the smallest hash; as windows
     move on it never moves back, so the windows of one anchor are consecutive.
     """
-    if len(_HASHES) > _CACHED_WORDS:
-        _HASHES.clear()
-    lengths = np.array([len(b) for b in bags], np.int64)
-    total = int(lengths.sum())
-    flat = np.fromiter(map(_HASHES.__getitem__, (w for b in bags for w in b)), np.uint64, total)
-    owner = np.repeat(np.arange(len(bags)), lengths)
-    rank = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    padded = np.concatenate([flat, np.zeros(gram, np.uint64)])
+    words, total = word_hashes(flat, bounds), len(bounds) - 1
+    padded = np.concatenate([words, np.zeros(gram, np.uint64)])
     least = np.zeros(total, np.uint64)
     for k in range(gram):
-        least = _mixed(least * np.uint64(0x9E3779B97F4A7C15) + padded[k : k + total] + np.uint64(k))
-    place = np.arange(total)
+        least += padded[k : k + total] * np.uint64(_FACTOR * (2 * k + 1) % (1 << 64))
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    least = (_mixed(least) & ~low) | (np.arange(total, dtype=np.uint64) & low)
     wide, target = 1, window - gram + 1
     while wide < target:
         step = min(wide, target - wide)
-        right, spot = least[step:], place[step:]
-        better = right < least[:-step]
-        least = np.concatenate([np.where(better, right, least[:-step]), least[-step:]])
-        place = np.concatenate([np.where(better, spot, place[:-step]), place[-step:]])
+        least = np.concatenate([np.minimum(least[:-step], least[step:]), least[-step:]])
         wide += step
-    starts = np.flatnonzero(rank + window <= lengths[owner])
-    anchor, text = place[starts], owner[starts]
+    lengths = np.diff(first)
+    starts = np.flatnonzero(np.arange(total) + window <= np.repeat(first[1:], lengths))
+    text, least = np.repeat(np.arange(len(lengths)), lengths)[starts], least[starts]
     new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts))[: len(first)] - 1
-    return text[first], rank[starts[first]], rank[starts[last]], least[starts[first]].view(np.int64)
+    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(starts))[: len(at)] - 1
+    return text[at], starts[at], starts[last], (least[at] >> np.uint64(_PLACE_BITS)).view(np.int64)
 
 
-def _anchors(window: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in text_parts(texts):
-                bags = [split_words(t) for t in texts[part]]
-                text, _, _, anchor = anchor_runs(bags, window, gram)
-                order = np.lexsort((anchor, text))
-                text, anchor = text[order], anchor[order]
-                new = np.ones(len(text), bool)
-                new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
-                at = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(text[at] + part.start)),
-                        pa.array(anchor[at]), pa.array(np.diff(np.append(at, len(text))).astype(np.int32)),
-                    ],
-                    names=["row_key", "anchor", "n"],
-                )
-
-    return run
+def _bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
+    return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def _pieces(window: int, gram: int):
+def _runs(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            wanted = batch.column(3).to_pylist()
+            texts = [t or b"" for t in _bytes_of(batch, 2)]
             for part in text_parts(texts):
-                bags = [split_words(t) for t in texts[part]]
-                text, first, last, anchor = anchor_runs(bags, window, gram)
-                known = [frozenset(w) for w in wanted[part]]
-                at, start, size, code, words = [], [], [], [], []
-                for t, a, b, h in zip(text.tolist(), first.tolist(), last.tolist(), anchor.tolist()):
-                    if h in known[t]:
-                        stop = b + window
-                        at.append(part.start + t)
-                        start.append(a)
-                        size.append(stop - a)
-                        code.append(h)
-                        words.append(b" ".join(bags[t][a:stop]))
-                index = pa.array(at, pa.int64())
+                flat, bounds, first = flat_words(texts[part])
+                text, start, last, anchor = anchor_runs(flat, bounds, first, window, gram)
+                data = flat.tobytes()
+                begin, end = bounds[start].tolist(), (bounds[last + window] - 1).tolist()
+                code = map(xxhash.xxh3_64_intdigest, [data[a:b] for a, b in zip(begin, end)])
+                index = pa.array(text + part.start)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(index), batch.column(1).take(index), pa.array(code, pa.int64()),
-                        pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(words, pa.binary()),
+                        batch.column(0).take(index), batch.column(1).take(index), pa.array(anchor),
+                        pa.array(np.fromiter(code, np.uint64, len(begin)).view(np.int64)),
+                        pa.array((start - first[text]).astype(np.int32)),
+                        pa.array((last + window - start).astype(np.int32)),
                     ],
-                    names=["row_key", "rank", "anchor", "start", "size", "words"],
+                    names=["row_key", "rank", "anchor", "code", "start", "size"],
                 )
 
     return run
 
 
+def _wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the pieces that are asked for, one row each."""
+    for batch in batches:
+        texts = [t or b"" for t in _bytes_of(batch, 2)]
+        for part in text_parts(texts):
+            flat, bounds, first = flat_words(texts[part])
+            data = flat.tobytes()
+            asked = batch.column(3).slice(part.start, part.stop - part.start)
+            fields = asked.flatten()
+            text = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+            start = fields.field("start").to_numpy()
+            begin = first[text] + start
+            end = bounds[begin + fields.field("size").to_numpy()] - 1
+            words = [data[a:b] for a, b in zip(bounds[begin].tolist(), end.tolist())]
+            index = pa.array(text + part.start)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(index), batch.column(1).take(index), fields.field("start"),
+                    fields.field("size"), fields.field("anchor"), fields.field("variants"),
+                    pa.array(words, pa.binary()),
+                ],
+                names=["row_key", "rank", "start", "size", "anchor", "variants", "words"],
+            )
+
+
 class SuffixAutomaton:
     """Of many word sequences; knows for each state the smallest key of its end positions."""
 
@@ -224,22 +262,30 @@ def _beaten(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         places = sorted({*zip(group["rank"], group["row_key"])})
         number = {p: i for i, p in enumerate(places)}
-        automaton, pieces = SuffixAutomaton(), []
-        for rank, row, start, words in zip(group["rank"], group["row_key"], group["start"], group["words"]):
-            # Places in the order of documents, then of words; the key is that of a word.
-            key = (number[rank, row] << 44) + start
-            words = words.split(b" ")
-            pieces.append((words, key))
-            automaton.add(words, key)
-        automaton.finish()
-        found = []
-        for words, key in pieces:
-            found.append([
-                at - window + 1
-                for at, (matched, earliest) in enumerate(automaton.matches(words, window))
-                if matched == window and earliest < key + at
-            ])
-        out = pd.DataFrame({"digest": group["digest"], "beaten": found})
+        by_anchor: dict[int, list[int]] = {}
+        for i, anchor in enumerate(group["anchor"].tolist()):
+            by_anchor.setdefault(anchor, []).append(i)
+        # Places in the order of documents, then of words; a key is that of a word.
+        keys = [
+            (number[rank, row] << 44) + start
+            for rank, row, start in zip(group["rank"], group["row_key"], group["start"].tolist())
+        ]
+        texts = group["words"].tolist()
+        found: list[list[int]] = [[] for _ in texts]
+        for members in by_anchor.values():
+            automaton, pieces = SuffixAutomaton(), []
+            for i in members:
+                words = texts[i].split(b" ")
+                pieces.append((i, words, keys[i]))
+                automaton.add(words, keys[i])
+            automaton.finish()
+            for i, words, key in pieces:
+                found[i] = [
+                    at - window + 1
+                    for at, (matched, earliest) in enumerate(automaton.matches(words, window))
+                    if matched == window and earliest < key + at
+                ]
+        out = group[["row_key", "start"]].assign(beaten=found)
         return out[[bool(f) for f in found]]
 
     return run
@@ -254,22 +300,20 @@ def _beaten_in_crowds(pieces: DataFrame, window: int) -> DataFrame:
     offsets = F.sequence(F.lit(0), F.col("size") - window)
     split = F.split(F.col("words").cast("string"), " ")
     windows = (
-        pieces.select("digest", "first", split.alias("split"), F.explode(offsets).alias("offset"))
+        pieces.select("rank", "row_key", "start", split.alias("split"), F.explode(offsets).alias("offset"))
         .select(
             F.unhex(F.md5(F.array_join(F.slice("split", F.col("offset") + 1, F.lit(window)), " "))).alias("code"),
-            F.struct(
-                "first.rank", "first.row_key", (F.col("first.start") + F.col("offset")).alias("at"), "digest", "offset"
-            ).alias("place"),
+            F.struct("rank", "row_key", (F.col("start") + F.col("offset")).alias("at"), "start", "offset").alias("place"),
         )
     )
     wins = (
         windows.groupBy("code").agg(F.min("place").alias("place"))
-        .groupBy("place.digest").agg(F.collect_list("place.offset").alias("wins"))
+        .groupBy("place.row_key", "place.start").agg(F.collect_list("place.offset").alias("wins"))
     )
     beaten = F.array_except(offsets, F.coalesce("wins", F.array().cast("array<int>")))
     return (
-        pieces.select("digest", "size").join(wins, "digest", "left")
-        .select("digest", beaten.alias("beaten")).where("size(beaten) > 0")
+        pieces.select("row_key", "start", "size").join(wins, ["row_key", "start"], "left")
+        .select("row_key", "start", beaten.alias("beaten")).where("size(beaten) > 0")
     )
 
 
@@ -293,81 +337,83 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     start at a smaller (rank, row_key) or before in the same text. Rows without any are
     not returned; ranges may overlap.
     """
-    anchors = store(
-        texts.select("row_key", "text").mapInArrow(_anchors(window, gram), "row_key long, anchor long, n int"),
-        "anchors",
-    )
-    twice = anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
-    wanted = store(
-        anchors.join(twice, "anchor").groupBy("row_key").agg(F.collect_list("anchor").alias("anchors")), "wanted"
-    )
-    pieces = store(
-        texts.select("row_key", "rank", "text").join(wanted, "row_key")
-        .mapInArrow(
-            _pieces(window, gram), "row_key long, rank long, anchor long, start long, size int, words binary"
-        )
-        .withColumn("digest", F.unhex(F.md5("words"))),
-        "pieces",
+    runs = store(
+        texts.select("row_key", "rank", "text").mapInArrow(
+            _runs(window, gram), "row_key long, rank long, anchor long, code long, start int, size int"
+        ),
+        "runs",
     )
     different = store(
-        pieces.groupBy("digest").agg(
-            F.min(F.struct("rank", "row_key", "start")).alias("first"), F.count(F.lit(1)).alias("n"),
-            F.first("anchor").alias("anchor"), F.first("size").alias("size"), F.first("words").alias("words"),
+        runs.groupBy("anchor", "code", "size").agg(
+            F.min(F.struct("rank", "row_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")
         ),
         "different-pieces",
     )
     several = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    # Read by both branches below and by the count: the join with the words runs once.
+    asked = (
+        different.select("anchor", "size", "first.row_key", "first.start").join(several, "anchor")
+        .groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "anchor", "variants")).alias("asked"))
+    )
+    # Read by both branches below and by the count: the texts are joined once.
     routed = store(
-        different.join(several, "anchor").select(
-            F.xxhash64("anchor").alias("shard"), "variants", "digest", "size", "words", "first"
+        texts.select("row_key", "rank", "text").join(asked.hint("merge"), "row_key").mapInArrow(
+            _wording, "row_key long, rank long, start int, size int, anchor long, variants long, words binary"
         ),
         "routed",
     )
     crowded = F.col("variants") > PIECES_PER_SHARD
-    reference = routed.where(~crowded).select(
-        "shard", "digest", "words", "first.rank", "first.row_key", "first.start"
-    )
+    reference = routed.where(~crowded).select("anchor", "words", "rank", "row_key", "start")
     shards = max(1, math.ceil(reference.count() / PIECES_PER_SHARD))
     beaten = (
-        reference.withColumn("shard", F.pmod("shard", F.lit(shards))).groupBy("shard")
-        .applyInPandas(_beaten(window), "digest binary, beaten array<int>")
+        reference.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard")
+        .applyInPandas(_beaten(window), "row_key long, start int, beaten array<int>")
         .unionByName(_beaten_in_crowds(routed.where(crowded), window))
     )
-    decided = store(
-        different.select("digest", "first", "n").join(beaten, "digest", "left").where("n > 1 OR beaten IS NOT NULL"),
-        "decided",
+
+    def span(start, end):
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    start = F.col("start")
+    late = beaten.select("row_key", F.transform("beaten", lambda o: span(start + o, start + o + window)).alias("spans"))
+    # Of equal pieces, all but the first go as a whole.
+    copies = different.where("n > 1").select("anchor", "code", "size", "first")
+    again = (
+        runs.select("anchor", "code", "size", "row_key", "start").join(copies, ["anchor", "code", "size"])
+        .where("row_key <> first.row_key OR start <> first.start")
+        .select("row_key", F.array(span(start, start + F.col("size"))).alias("spans"))
     )
-    here = F.struct("rank", "row_key", "start")
-    late = F.transform("beaten", lambda o: F.struct((F.col("start") + o).alias("start"), (F.col("start") + o + window).alias("end")))
-    all_of_it = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("size")).alias("end")))
-    return (
-        pieces.select("digest", "row_key", "rank", "start", "size").join(decided, "digest")
-        .select("row_key", F.when(here == F.col("first"), late).otherwise(all_of_it).alias("spans"))
-        .where("spans IS NOT NULL")
-        .groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return late.unionByName(again).groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def without_spans(texts: list[bytes], spans: pa.ListArray) -> pa.StructArray:
+    """n_words, n_removed and kept_text of every text after its word ranges are cut out."""
+    flat, bounds, first = flat_words(texts)
+    count = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    base, ranges, total = np.repeat(first[:-1], count), spans.flatten(), len(bounds) - 1
+    edges = [np.bincount(base + ranges.field(f).to_numpy(), minlength=total + 1) for f in ("start", "end")]
+    stays = np.cumsum(edges[0] - edges[1])[:total] == 0
+    sums = np.concatenate([[0], np.cumsum(stays)])[first]
+    kept = np.diff(sums)
+    bytes_stay = np.repeat(stays, np.diff(bounds))
+    # No space behind a text's last kept word.
+    last = np.flatnonzero(stays)[sums[1:][kept > 0] - 1]
+    bytes_stay[bounds[last + 1] - 1] = False
+    ends = np.concatenate([[0], np.cumsum(bytes_stay)])[bounds[first]].astype(np.int32)
+    text = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(flat[bytes_stay]))
+    n_words = np.diff(first)
+    return pa.StructArray.from_arrays(
+        [pa.array(n_words), pa.array(n_words - kept), text], names=["n_words", "n_removed", "kept_text"]
     )
 
 
 def _cut(text_at: int, width: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(width).to_pylist()):
-                words = split_words(text)
-                keep, at = [], 0
-                for span in sorted(spans or (), key=lambda s: s["start"]):
-                    keep += words[at : max(at, span["start"])]
-                    at = max(at, span["end"])
-                keep += words[at:]
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(keep))
-                kept.append(b" ".join(keep).decode("utf-8", "surrogatepass"))
-            cut = pa.StructArray.from_arrays(
-                [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                names=["n_words", "n_removed", "kept_text"],
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], cut], names=names)
+            texts = [t or b"" for t in _bytes_of(batch, text_at)]
+            for part in text_parts(texts):
+                rows = batch.slice(part.start, part.stop - part.start)
+                cut = without_spans(texts[part], rows.column(width))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:width], cut], names=names)
 
     return run
 

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from finsieve.llm import substring_dedup
 from finsieve.llm.common import keyed
 from finsieve.llm.substring_dedup import SuffixAutomaton, deduplicate, without_repeats
@@ -83,6 +85,44 @@ def test_a_passage_in_many_rows_meets_in_no_task(spark, monkeypatch):
     check(spark, [(i, f"{prose(100 + i, 30, 50_000)} {passage} {prose(500 + i, 30, 50_000)}") for i in range(40)])
 
 
+def test_words_leave_the_texts_only_for_pieces_with_variants(spark, monkeypatch):
+    store, worded = substring_dedup.store, {}
+
+    def counted(df, name):
+        out = store(df, name)
+        if "words" in out.columns:
+            worded[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "store", counted)
+    text = prose(1, 300, 5000)
+    check(spark, [(i, text) for i in range(30)])
+    assert sum(worded.values()) == 0
+    check(spark, [(i, text if i else text.replace(text.split()[150], "edit", 1)) for i in range(30)])
+    assert 0 < sum(worded.values()) < 30
+
+
+def test_a_words_hash_does_not_depend_on_its_neighbours():
+    texts = [f"  {prose(1, 30_000)}\t\n", None, "", " \v\f\r", "ü" * 40_000 + " x " + "y" * 65_536 + " ü", "x"]
+    flat, bounds, first = substring_dedup.flat_words([t.encode() if t else None for t in texts])
+    spelt = [flat[a : b - 1].tobytes() for a, b in zip(bounds, bounds[1:])]
+    assert [spelt[a:b] for a, b in zip(first, first[1:])] == [[w.encode() for w in words(t)] for t in texts]
+    hashes, alone = substring_dedup.word_hashes(flat, bounds).tolist(), {}
+    for w in {*spelt}:
+        alone[w] = int(substring_dedup.word_hashes(*substring_dedup.flat_words([w])[:2])[0])
+    assert hashes == [alone[w] for w in spelt]
+    assert len({*alone.values()}) == len(alone)
+
+
+def test_ranges_are_cut_out_of_texts():
+    texts = ["a b\n c d", "", "x", " a  b c ", "a b"]
+    spans = [[(1, 2), (1, 3)], None, [(0, 1)], [(2, 3)], []]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    given = pa.array([None, *[s and [{"start": a, "end": b} for a, b in s] for s in spans]], kind).slice(1)
+    cut = substring_dedup.without_spans([t.encode() for t in texts], given)
+    assert [tuple(r.values()) for r in cut.to_pylist()] == [(4, 2, "a d"), (0, 0, ""), (1, 1, ""), (3, 1, "a b"), (2, 0, "a b")]
+
+
 def test_automaton_has_matching_statistics():
     rng = random.Random(3)
     texts = [[bytes([97 + rng.randrange(3)]) for _ in range(40)] for _ in range(4)]
