@@ -115,5 +115,5 @@ def test_all_queries_are_registered():
 
     names = __spark_entry__.queries().keys()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 14)}
     assert __spark_entry__.oracle_sql().keys() <= names
