@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -317,6 +318,18 @@ def _beaten_in_crowds(pieces: DataFrame, window: int) -> DataFrame:
     )
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Within it, a job's shuffle files go when its result is stored, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bucketed(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` stored in buckets of ``key``: later joins on it shuffle only the other side."""
     spark = rows.sparkSession
@@ -429,13 +442,15 @@ def deduplicate(
     joined by one space. Null, empty and blank texts have no words; texts shorter than a
     window lose nothing. ``key`` must be unique. The whole rows are shuffled once.
     """
-    rows = bucketed(docs, key)
-    texts = rows.select(
-        F.col(key).alias("row_key"), F.col(text_column).cast("string").alias("text"),
-        F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("rank"),
-    )
     spans, cut = free_name(docs, "spans"), free_name(docs, "cut")
-    found = repeated_spans(texts, window).select(F.col("row_key").alias(key), F.col("spans").alias(spans))
+    with shuffles_released(docs.sparkSession):
+        rows = bucketed(docs, key)
+        texts = rows.select(
+            F.col(key).alias("row_key"), F.col(text_column).cast("string").alias("text"),
+            F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("rank"),
+        )
+        found = repeated_spans(texts, window)
+    found = found.select(F.col("row_key").alias(key), F.col("spans").alias(spans))
     joined = rows.join(found.hint("merge"), key, "left").select(*docs.columns, spans)
     result = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     schema = T.StructType([*docs.schema.fields, T.StructField(cut, result)])
